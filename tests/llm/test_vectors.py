@@ -9,7 +9,7 @@ from textmill.llm.queries import QUERIES
 
 def brute(rows, step, k, measure):
     """query -> [(vec_id, score)] by comparing every pair."""
-    rows = [(i, np.asarray(v, float)) for i, v in rows]
+    rows = [(i, np.asarray(v, np.float32).astype(float)) for i, v in rows]
     out = {}
     for i, q in rows:
         if i % step == 0:

@@ -8,7 +8,7 @@ pruning); if it is high, a vector stays only if its component along q's largest
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no part; empty
 and zero vectors do, with score 0; rows that repeat a vec_id are never candidates of a query of that id, and together
-count as one query; ties go to the smaller vec_id; an empty table gives an empty result. Components so large that a
+count as one query, the least of their vectors; ties go to the smaller vec_id; an empty table gives an empty result. Components so large that a
 sum could pass 2^53 are computed in Python's integers and scores beyond a long become the nearest long. Only the id
 and vector columns are read.
 """

@@ -74,7 +74,8 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score for vectors (vec_id long, v array) that all take part.
 
-    A query's candidates are the rows with another id and as many components.
+    A query's candidates are the rows with another id and as many components; of rows that share a query's id, the
+    least vector asks.
     """
     vectors = vectors.where(F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
     n, m = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
@@ -82,7 +83,8 @@ def search(
     dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     parts = vectors.select("vec_id", "v", "dim", dealt(1, shards).alias("shard"), every(blocks).alias("block"))
-    queries = vectors.where(is_query).select("vec_id", "v", "dim", dealt(2, blocks).alias("block"), every(shards).alias("shard"))
+    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    queries = queries.select("vec_id", "v", "dim", dealt(2, blocks).alias("block"), every(shards).alias("shard"))
     score = np.float64 if score_type == "double" else np.int64
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
