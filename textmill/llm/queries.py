@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textmill.llm import ann, bpe, line_dedup, mixing, simhash, topk, url_filter
+from textmill.llm import ann, bpe, lang_id, line_dedup, mixing, secrets, simhash, topk, toxicity, url_filter
 from textmill.llm.common import read
 
 URL_RULES = (
@@ -34,6 +34,19 @@ def op3_ann(spark, sf_dir):
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def remainder(modulus: int):
+    """crc32 of the doc_id's text, modulo; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), usable=remainder(5) != 0)
+    held = F.coalesce(remainder(5) == 0, F.lit(False))
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_simhash(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -60,9 +73,32 @@ def op8_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_lang_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    usable = F.crc32(F.col("i").cast("string")) % 4 != 2
+    model = lang_id.train(docs, usable=usable)
+    held = F.coalesce(remainder(4) == 2, F.lit(False))
+    return docs.select("doc_id", held.alias("held_out"), lang_id.predict(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
+
+
+def op10_secrets(spark, sf_dir):
+    forest = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(read(spark, sf_dir, "documents"), forest)
+    return found.select("doc_id", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_url_filter, op3_ann, op5_simhash, op6_bpe, op7_topk, op8_mixing)
+    for f in (
+        op1_line_dedup, op2_url_filter, op3_ann, op4_toxicity, op5_simhash, op6_bpe, op7_topk, op8_mixing, op9_lang_id, op10_secrets,
+        pipeline,
+    )
 }
 
 ORACLES = {

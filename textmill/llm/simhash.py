@@ -150,14 +150,32 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (long), fingerprint (16 hex digits) and component_id (least doc_id reachable) of every document."""
-    marked = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), width).alias("fp")))
+    """doc_id, text_key, fp (long), fingerprint (16 hex digits) and component_id (least doc_id reachable) of every document.
+
+    text_key is a hash of the text, which with the id names a row unless the row is repeated.
+    """
+    text = F.col(text_col)
+    marked = cut(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), fingerprints(text, width).alias("fp")))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     rooted = fps.join(components(near_edges(fps)), F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     rooted = cut(rooted)
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     return marked.join(classes, "fp").select(
-        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", "text_key", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "root", "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with one row left of each class of near duplicates: the one of least id."""
+    found = near_duplicates(docs, width, id_col, text_col)
+    # a null id comes after all others
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("t"))).alias("f")
+    stay = cut(found.groupBy("root").agg(first).select(F.col("f.i").alias("__stay_id"), F.col("f.t").alias("__stay_key")))
+    key = F.xxhash64(docs[text_col])
+    kept = docs.join(stay, docs[id_col].eqNullSafe(F.col("__stay_id")) & (key == F.col("__stay_key")), "left_semi")
+    unique = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    if unique:
+        return kept
+    return kept.withColumn("__stay_key", key).dropDuplicates([id_col, "__stay_key"]).select(*docs.columns)
