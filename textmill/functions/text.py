@@ -7,6 +7,7 @@ text whose compatibility forms or case folding the native form doesn't cover.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -29,6 +30,11 @@ SECRETS = (
 GENERATED = ("generated file", "auto-generated", "autogenerated", "do not edit", "machine generated")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, where it stands in a lambda that runs many times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def unix(text: Column) -> Column:
     """Line ends as line feeds."""
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -74,9 +80,12 @@ def word_count(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines without the empty one after a final line feed."""
-    lines = F.split(text, "\n")
-    closed = (F.size(lines) > 1) & (F.element_at(lines, -1) == "")
-    return F.when(closed, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+
+    def open_(lines: Column) -> Column:
+        closed = (F.size(lines) > 1) & (F.element_at(lines, -1) == "")
+        return F.when(closed, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+
+    return bind(F.split(text, "\n"), open_)
 
 
 def bare_lines(text: Column) -> Column:
@@ -86,17 +95,24 @@ def bare_lines(text: Column) -> Column:
 
 def shingles(text: Column, width: int) -> Column:
     """Windows of `width` words of the normal form; the words themselves if there are fewer."""
-    w = words(normalized(text))
-    windows = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
-    return F.when(F.size(w) < width, w).otherwise(windows)
+
+    def windows(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) < width, w).otherwise(each)
+
+    return bind(words(normalized(text)), windows)
 
 
 def evenly(values: Column, most: int) -> Column:
     """At most `most` values, at even steps."""
-    places = F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))
-    n = F.size(values).cast("long")
-    taken = F.transform(places, lambda i: F.element_at(values, (F.floor(i * n / F.lit(most)) + 1).cast("int")))
-    return F.when(n <= most, values).otherwise(taken)
+
+    def sampled(v: Column) -> Column:
+        n = F.size(v).cast("long")
+        places = F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))
+        taken = F.transform(places, lambda i: F.element_at(v, (F.floor(i * n / F.lit(most)) + 1).cast("int")))
+        return F.when(n <= most, v).otherwise(taken)
+
+    return bind(values, sampled)
 
 
 def measures(text: Column) -> dict[str, Column]:

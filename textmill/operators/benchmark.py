@@ -26,11 +26,14 @@ def strong_lines(text: Column) -> Column:
 
 def line_pairs(text: Column) -> Column:
     """Distinct digests of neighbouring lines that are long enough together."""
-    lines = tx.bare_lines(text)
-    after = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    before = F.slice(lines, F.lit(1), F.size(after))
-    both = F.zip_with(before, after, lambda a, b: F.when(F.length(a) + F.length(b) >= PAIR, sha(F.concat(a, F.lit("\n"), b))))
-    return F.array_distinct(F.array_compact(both))
+
+    def pairs(lines: Column) -> Column:
+        after = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        before = F.slice(lines, F.lit(1), F.size(after))
+        both = F.zip_with(before, after, lambda a, b: F.when(F.length(a) + F.length(b) >= PAIR, sha(F.concat(a, F.lit("\n"), b))))
+        return F.array_distinct(F.array_compact(both))
+
+    return tx.bind(tx.bare_lines(text), pairs)
 
 
 def exact_digest(text: Column) -> Column:

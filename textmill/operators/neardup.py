@@ -51,24 +51,36 @@ def band_keys(shingles: list[bytes], config: LshConfig) -> list[str]:
     return out
 
 
-def bands(shingles: Column, config: LshConfig) -> Column:
-    """Band keys (array<string>) of a column of shingles, by Arrow batches."""
+def windows(words: list[str], width: int) -> list[str]:
+    """Runs of `width` words; the words themselves if there are fewer."""
+    return [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else words
+
+
+def bands(words: Column, config: LshConfig) -> Column:
+    """Band keys (array<string>) of a column of the words of normal forms, by Arrow batches."""
 
     @F.arrow_udf("array<string>")
     def of(rows: pa.Array) -> pa.Array:
-        return pa.array((band_keys([s.encode() for s in r], config) for r in rows.to_pylist()), pa.list_(pa.string()))
+        keys = (band_keys([s.encode() for s in windows(r.as_py(), config.width)], config) for r in rows)
+        return pa.array(keys, pa.list_(pa.string()))
 
-    return of(shingles)
+    return of(words)
 
 
-def sketch(shingles: Column, k: int = 16) -> Column:
-    """The k least distinct XXH3 digests of the features, ascending, as hex."""
+def sketch(words: Column, width: int, most: int = 2048, k: int = 16) -> Column:
+    """The k least distinct XXH3 digests, as hex, of up to `most` evenly chosen windows of words."""
 
     @F.arrow_udf("array<string>")
     def of(rows: pa.Array) -> pa.Array:
-        return pa.array((sorted({xxhash.xxh3_64_hexdigest(s.encode()) for s in r})[:k] for r in rows.to_pylist()), pa.list_(pa.string()))
+        out = []
+        for r in rows:
+            found = windows(r.as_py(), width)
+            if len(found) > most:
+                found = [found[i * len(found) // most] for i in range(most)]
+            out.append(sorted({xxhash.xxh3_64_hexdigest(s.encode()) for s in found})[:k])
+        return pa.array(out, pa.list_(pa.string()))
 
-    return of(shingles)
+    return of(words)
 
 
 def star_edges(docs: DataFrame) -> DataFrame:
@@ -82,7 +94,7 @@ def star_edges(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, config: LshConfig) -> DataFrame:
     """(ordinal, set, n): distinct shingle digests of each document."""
-    hashed = F.array_sort(F.array_distinct(F.transform(tx.shingles(F.col("text"), config.width), F.xxhash64)))
+    hashed = F.array_sort(F.array_distinct(F.transform(tx.shingles(F.col("text"), config.width), lambda s: F.xxhash64(s))))
     return docs.select("ordinal", hashed.alias("set")).withColumn("n", F.size("set"))
 
 

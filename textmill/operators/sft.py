@@ -129,7 +129,8 @@ def decide(rows: DataFrame, policy: SftPolicy, contaminated: DataFrame | None =
         first_failing(tests), F.when(secret.isNotNull(), F.concat(F.lit("secret:"), secret)),
         first_failing({"quality:rendering": F.contains(p, F.lit(END)) | F.contains(c, F.lit(END)), "length:over-context": F.col("tokens") - 1 > policy.max_tokens, "length:no-target": F.col("tokens") < 2}),
     )
-    return rows.drop("hit").withColumn("reason", reason).withColumn("split", F.when(F.col("reason").isNull(), group_split(F.col("group_id"), policy)))
+    rows = rows.withColumn("reason", reason).drop("hit")
+    return rows.withColumn("split", F.when(F.col("reason").isNull(), group_split(F.col("group_id"), policy)))
 
 
 def contaminated_groups(rows: DataFrame, guard_hits: DataFrame) -> DataFrame:

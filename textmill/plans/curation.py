@@ -9,22 +9,12 @@ from textmill.config import QUALITY, SPLIT
 from textmill.functions import text as tx
 from textmill.functions.identity import split_of
 from textmill.operators import benchmark, curate, dq, publish, quality
-from textmill.plans.oracle import sql
+from textmill.plans.registry import Registry
 from textmill.sources import tables
 from textmill.storage import cut, read
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = sql(oracle)
-        return f
-
-    return register
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 class Curation:

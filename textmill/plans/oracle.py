@@ -124,18 +124,18 @@ CTES = {
     "indexed": """SELECT *, len(tokens) AS n_tokens, coalesce(sum(len(tokens) + 1) OVER (PARTITION BY split, domain ORDER BY archive, manifest_index
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM tokened""",
     "stream": f"SELECT split, domain, start + i - 1 AS pos, coalesce(tokens[i], {PACK.eos}) AS tok, i = 1 AS fresh FROM indexed, unnest(range(1, n_tokens + 2)) AS t(i)",
-    "cells": f"""SELECT split, domain, pos // {PACK.length} AS row_id, pos % {PACK.length} AS at, tok, fresh OR pos % {PACK.length} = 0 AS fresh FROM stream
+    "cells": f"""SELECT split, domain, pos // {PACK.length} AS row_id, pos % {PACK.length} AS spot, tok, fresh OR pos % {PACK.length} = 0 AS fresh FROM stream
         UNION ALL SELECT split, domain, pos // {PACK.length} - 1, {PACK.length}, tok, fresh FROM stream WHERE pos % {PACK.length} = 0 AND pos > 0""",
-    "packed": f"""SELECT split, domain, row_id, list(tok ORDER BY at) AS tokens, list(fresh ORDER BY at) AS starts FROM cells
+    "packed": f"""SELECT split, domain, row_id, list(tok ORDER BY spot) AS tokens, list(fresh ORDER BY spot) AS starts FROM cells
         GROUP BY split, domain, row_id HAVING count(*) = {PACK.length + 1}""",
     "turns": "SELECT *, lead(role) OVER w AS next, lead(text) OVER w AS completion FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)",
     "sft_rows": """SELECT md5(conv_id::VARCHAR || ':' || turn::VARCHAR) AS id, text AS input, completion AS output,
         CASE WHEN conv_id % 11 = 3 THEN 'other' ELSE 'generic' END AS domain, 'self-instruct' AS generation_algorithm,
         CASE WHEN conv_id % 13 = 5 THEN 1.5 ELSE 0.5 END AS average_test_score FROM turns WHERE role = 'user' AND next = 'assistant'""",
     "sft_marked": f"SELECT *, 'prompt-sha256:' || sha256({normalized('input')}) AS group_id, len(regexp_extract_all(input, {_WORD})) + len(regexp_extract_all(output, {_WORD})) + 4 AS tokens FROM sft_rows",
-    "sft_bad": "SELECT DISTINCT group_id FROM sft_marked WHERE " + " OR ".join(
-        f"""len(list_filter(string_split(input || chr(10) || output, chr(10)), lambda x: length({collapsed('x')}) >= {benchmark.STRONG}
-            AND list_contains((SELECT list(digest) FROM strong), sha256({collapsed('x')})))) > 0""" for _ in range(1)),
+    "sft_bad": f"""SELECT DISTINCT group_id FROM (SELECT group_id, {collapsed('line')} AS bare FROM (
+            SELECT group_id, unnest(string_split(input || chr(10) || output, chr(10))) AS line FROM sft_marked))
+        WHERE length(bare) >= {benchmark.STRONG} AND sha256(bare) IN (SELECT digest FROM strong)""",
     "sft_decided": f"""SELECT *, coalesce({first_failing({
         'schema:input': 'input IS NULL', 'schema:output': 'output IS NULL',
         'quality:empty-prompt': "trim(regexp_replace(input, '\\s', '', 'g')) = ''", 'quality:empty-completion': "trim(regexp_replace(output, '\\s', '', 'g')) = ''",

@@ -59,23 +59,32 @@ def unpack_archive(data: bytes) -> Iterator[tuple[int, str, str, str, int]]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows of MEMBERS for every archive at a path; an archive is one task's work."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = pa.schema([("archive", pa.string()), ("manifest_index", pa.int64()), ("member_path", pa.string()), ("content", pa.string()), ("sha256", pa.string()), ("size_bytes", pa.int64())])
+    files = spark.read.format("binaryFile").load(path)
+    return unpacked(files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias("data")))
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """Rows of MEMBERS for (archive, data) rows."""
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    names = ["archive", "manifest_index", "member_path", "content", "sha256", "size_bytes"]
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["path"].to_pylist(), batch["content"]):
+            for name, data in zip(batch["archive"].to_pylist(), batch["data"]):
                 rows, size = [], 0
                 for row in unpack_archive(data.as_py()):
-                    rows.append((name.rsplit("/", 1)[-1], *row))
+                    rows.append((name, *row))
                     size += row[-1]
                     if size > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                        yield batch_of(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    yield batch_of(rows)
 
-    return files.mapInArrow(members, MEMBERS)
+    return packed.select("archive", "data").mapInArrow(members, MEMBERS)
 
 
 def archived(docs: DataFrame, per_archive: int = 1000) -> DataFrame:
