@@ -1,24 +1,5 @@
-"""Helpers shared by the operators of this subpackage."""
+"""What the operators of this subpackage take from the library."""
 
-from __future__ import annotations
+from textmill.storage import cut, read, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data directory, by a path that only Spark needs to open."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textmill-checkpoints")
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and written to the shared folder, so lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "read", "shared_dir"]
