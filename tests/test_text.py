@@ -38,7 +38,7 @@ def test_shingles_and_even_samples(spark):
 
 
 def flagged(spark, text, code=False):
-    df = spark.createDataFrame([(text,)], "text string")
+    df = tx.with_lines(spark.createDataFrame([(text,)], "text string"))
     m = tx.measures(F.col("text"))
     row = df.select("text", *(c.alias(k) for k, c in m.items()))
     return row.select(tx.flags(F.col("text"), {k: F.col(k) for k in m}, QUALITY, code).alias("f")).first().f
@@ -67,7 +67,7 @@ def test_code_flags(spark):
 def test_measures_agree_with_python(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("ab É1 \n{'.") for _ in range(rng.randint(1, 80))) for _ in range(60)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    df = tx.with_lines(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"))
     rows = df.select("i", *(c.alias(k) for k, c in tx.measures(F.col("text")).items())).orderBy("i").collect()
     for t, r in zip(texts, rows):
         lines = t.splitlines() or [t]

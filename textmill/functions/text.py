@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.config import QualityPolicy
@@ -115,10 +115,15 @@ def evenly(values: Column, most: int) -> Column:
     return bind(values, sampled)
 
 
+def with_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """`df` with the text's lines and its collapsed lines, which `measures` reads; computed once for all of them."""
+    df = df.withColumn("__lines", split_lines(F.col(text)))
+    return df.withColumn("__bare", F.filter(F.transform("__lines", collapsed), lambda line: line != ""))
+
+
 def measures(text: Column) -> dict[str, Column]:
-    """The quality measures, fractions unrounded."""
-    lines = split_lines(text)
-    bare = F.filter(F.transform(lines, collapsed), lambda line: line != "")
+    """The quality measures, fractions unrounded, of rows that `with_lines` made."""
+    lines, bare = F.col("__lines"), F.col("__bare")
     n, filled, chars = F.size(lines).cast("long"), F.size(bare).cast("long"), F.length(text).cast("long")
     most = F.greatest(chars, F.lit(1))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")

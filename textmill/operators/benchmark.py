@@ -19,25 +19,21 @@ JSON_KEYS = ('"task_id"', '"test_list"', '"challenge_test_list"')
 REASONS = ("mbpp-marker", "mbpp-json-shape", "mbpp-exact-code", "mbpp-problem-or-test", "mbpp-embedded-code")
 
 
-def strong_lines(text: Column) -> Column:
-    """Distinct digests of the lines long enough to tell."""
-    return F.array_distinct(F.transform(F.filter(tx.bare_lines(text), lambda x: F.length(x) >= STRONG), sha))
+def strong_lines(lines: Column) -> Column:
+    """Distinct digests of the collapsed lines long enough to tell."""
+    return F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= STRONG), sha))
 
 
-def line_pairs(text: Column) -> Column:
-    """Distinct digests of neighbouring lines that are long enough together."""
+def line_pairs(lines: Column) -> Column:
+    """Distinct digests of neighbouring collapsed lines that are long enough together."""
+    after = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+    before = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
+    both = F.zip_with(before, after, lambda a, b: F.when(F.length(a) + F.length(b) >= PAIR, sha(F.concat(a, F.lit("\n"), b))))
+    return F.array_distinct(F.array_compact(both))
 
-    def pairs(lines: Column) -> Column:
-        after = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-        before = F.slice(lines, F.lit(1), F.size(after))
-        both = F.zip_with(before, after, lambda a, b: F.when(F.length(a) + F.length(b) >= PAIR, sha(F.concat(a, F.lit("\n"), b))))
-        return F.array_distinct(F.array_compact(both))
 
-    return tx.bind(tx.bare_lines(text), pairs)
-
-
-def exact_digest(text: Column) -> Column:
-    return sha(F.array_join(tx.bare_lines(text), "\n"))
+def exact_digest(lines: Column) -> Column:
+    return sha(F.array_join(lines, "\n"))
 
 
 def denylist(items: DataFrame, text: str = "text", code: str | None = None, tests: tuple[str, ...] = (), least_items: int = 1) -> DataFrame:
@@ -45,12 +41,13 @@ def denylist(items: DataFrame, text: str = "text", code: str | None = None, test
     if (n := items.limit(least_items).count()) < least_items:
         raise ValueError(f"the benchmark has {n} items, expected {least_items} at least")
     code = code or text
-    lines = strong_lines(F.col(text))
+    lines = strong_lines(tx.bare_lines(F.col(text)))
     for column in tests:
-        lines = F.concat(lines, F.flatten(F.transform(F.coalesce(F.col(column), F.array()), strong_lines)))
+        lines = F.concat(lines, F.flatten(F.transform(F.coalesce(F.col(column), F.array()), lambda x: strong_lines(tx.bare_lines(x)))))
+    bare = tx.bare_lines(F.col(code))
     kinds = {
-        "strong": lines, "pair": line_pairs(F.col(code)),
-        "exact": F.when(F.size(tx.bare_lines(F.col(code))) > 0, F.array(exact_digest(F.col(code)))).otherwise(F.array().cast("array<string>")),
+        "strong": lines, "pair": line_pairs(bare),
+        "exact": F.when(F.size(bare) > 0, F.array(exact_digest(bare))).otherwise(F.array().cast("array<string>")),
         "function": F.regexp_extract_all(F.col(code), F.lit(FUNCTION), F.lit(1)),
     }
     each = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("digests")) for k, c in kinds.items()))
@@ -63,13 +60,15 @@ def _small(df: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, deny: DataFrame) -> DataFrame:
     """(id, kind, hits): how many distinct denied digests of a kind a document holds; only documents with any."""
+    # lines are computed once; only their digests are exploded
+    lines = docs.select("id", "text", tx.bare_lines(F.col("text")).alias("__bare"))
     each = F.array(
-        F.struct(F.lit("strong").alias("kind"), strong_lines(F.col("text")).alias("d")),
-        F.struct(F.lit("pair").alias("kind"), line_pairs(F.col("text")).alias("d")),
-        F.struct(F.lit("exact").alias("kind"), F.array(exact_digest(F.col("text"))).alias("d")),
+        F.struct(F.lit("strong").alias("kind"), strong_lines(F.col("__bare")).alias("d")),
+        F.struct(F.lit("pair").alias("kind"), line_pairs(F.col("__bare")).alias("d")),
+        F.struct(F.lit("exact").alias("kind"), F.array(exact_digest(F.col("__bare"))).alias("d")),
         F.struct(F.lit("function").alias("kind"), F.array_distinct(F.regexp_extract_all("text", F.lit(FUNCTION), F.lit(1))).alias("d")),
     )
-    held = docs.select("id", F.explode(each).alias("k")).select("id", "k.kind", F.explode("k.d").alias("digest"))
+    held = lines.select("id", F.explode(each).alias("k")).select("id", "k.kind", F.explode("k.d").alias("digest"))
     return held.join(_small(deny), ["kind", "digest"], "left_semi").groupBy("id", "kind").agg(F.count(F.lit(1)).alias("hits"))
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from textmill.config import QUALITY, SPLIT
 from textmill.functions import identity, text as tx
 from textmill.functions.prefix import ordinal
-from textmill.storage import cut, read
+from textmill.storage import cut, read, spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, key, bucket, archive, text and size of every document; a null text counts as an empty one."""
     text = F.coalesce("text", F.lit(""))
-    return read(spark, sf_dir, "documents").select(
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(docs, "doc_id").select(
         F.col("doc_id").alias("id"),
         identity.document_key(F.col("source"), F.col("doc_id")).alias("key"),
         F.col("lang").alias("bucket"),
@@ -26,7 +27,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document, without its text: hashes, measures, flags, penalty, identity, group and rank."""
-    docs = documents(spark, sf_dir)
+    docs = tx.with_lines(documents(spark, sf_dir))
     text = F.col("text")
     m = tx.measures(text)
     rows = docs.select("id", "key", "bucket", "archive", "size_bytes", "text", *(c.alias(k) for k, c in m.items()))
