@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: A vocabulary goes to every executor, so its file is bounded; a larger one is an error.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Longer pre-tokens aren't remembered.
 REMEMBERED_LENGTH = 64
 _LOW_BITS = 8
