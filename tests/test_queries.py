@@ -25,7 +25,7 @@ def listed(rows):
 
 @pytest.mark.parametrize(("module", "name"), NAMES, ids=[n for _, n in NAMES])
 def test_query_agrees_with_sql(spark, sf, duck, module, name):
-    if name in ("parquet_inventory", "training_order", "order_validation", "microbatch_ranks", "order_lookup"):
+    if name in ("parquet_inventory", "training_order", "order_validation", "microbatch_ranks", "order_lookup", "feasible_rows", "row_sample"):
         folder = "/root/testdata/sf0.01"  # the smallest tables hold too little for these
         con = duckdb.connect()
         for t in TABLES:

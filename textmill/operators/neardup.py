@@ -202,3 +202,9 @@ def perturbed(words: Column, kind: str, amount: Column) -> Column:
         return F.concat(words, made)
     start = F.floor((n - amount) / 2).cast("int")
     return F.concat(F.slice(words, F.lit(1), start), made, F.slice(words, start + amount + 1, F.greatest(n - start - amount, F.lit(0))))
+
+
+def paired_documents(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(archive, id) of the documents that stand on either side of a pair (a, b), each once."""
+    sides = pairs.select(F.col("a").alias("ordinal")).unionByName(pairs.select(F.col("b").alias("ordinal"))).distinct()
+    return docs.select("ordinal", "archive", "id").join(sides, "ordinal").select("archive", "id")

@@ -195,3 +195,9 @@ def domain_metrics(losses: DataFrame) -> DataFrame:
 
 def first_rows(order: DataFrame, n: int) -> DataFrame:
     return order.where(F.col("position") < n)
+
+
+def row_sample(rows: DataFrame, n: int, seed: str) -> DataFrame:
+    """n rows (domain, row_id) without replacement, those of least seeded digest; each task keeps n rows at most."""
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.lit("sample"), "domain", F.col("row_id").cast("string")), 256)
+    return rows.select("domain", "row_id").orderBy(digest, "domain", "row_id").limit(n)

@@ -9,6 +9,7 @@ from textmill.config import QUALITY, SPLIT
 from textmill.functions import text as tx
 from textmill.functions.identity import split_of
 from textmill.operators import benchmark, curate, dq, publish, quality
+from textmill.plans import oracle
 from textmill.plans.registry import Registry
 from textmill.sources import tables
 from textmill.storage import cut, read
@@ -353,6 +354,27 @@ def keep_bits(spark, sf):
     return publish.keep_bits(tables.inventory(c.fp.select("id", "archive")), c.eligible)
 
 
+@query("SELECT f.archive, f.manifest_index, f.id, e.id IS NOT NULL AS keep FROM fp f LEFT JOIN eligible e ON e.id = f.id")
+def kept_by_bits(spark, sf):
+    """Documents joined by place with the bitmap that says whether they stay."""
+    c = Curation(spark, sf)
+    indexed = cut(tables.inventory(c.fp.select("id", "archive")))
+    return publish.kept_by_bits(indexed, publish.keep_pieces(indexed, c.eligible))
+
+
+@query(f"""SELECT (row_number() OVER (ORDER BY CASE i.split WHEN 'test' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, i.category))::INTEGER AS cell, i.split, i.category,
+    input_documents, coalesce(documents, 0) AS documents, coalesce(tokens, 0)::BIGINT AS tokens, 5000::BIGINT AS target,
+    greatest(5000 - coalesce(tokens, 0), 0)::BIGINT AS shortfall, greatest(coalesce(tokens, 0) - 5000, 0)::BIGINT AS surplus, true AS consistent
+    FROM (SELECT {oracle.split_of('source_group')} AS split, bucket AS category, count(*) AS input_documents FROM fp GROUP BY 1, 2) i
+    LEFT JOIN (SELECT split, category, count(*) AS documents, sum(words) AS tokens FROM eligible GROUP BY 1, 2) e ON e.split = i.split AND e.category = i.category""")
+def selected_totals(spark, sf):
+    """Every cell that documents fall into, against 5,000 tokens each."""
+    c = Curation(spark, sf)
+    inputs = cut(c.fp.select(split_of(F.col("source_group"), SPLIT).alias("split"), F.col("bucket").alias("category"), "words"))
+    quotas = inputs.select("split", "category").distinct().withColumn("target", F.lit(5000).cast("long"))
+    return publish.selected_totals(inputs, c.eligible, quotas)
+
+
 @query("""SELECT q.split, q.category, 5000::BIGINT AS target, sum(e.words)::BIGINT AS tokens, greatest(5000 - sum(e.words), 0)::BIGINT AS shortfall,
     greatest(sum(e.words) - 5000, 0)::BIGINT AS surplus FROM quotas q JOIN eligible e ON e.split = q.split AND e.category = q.category GROUP BY q.split, q.category""")
 def reference_quota_gap(spark, sf):

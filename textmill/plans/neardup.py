@@ -63,6 +63,13 @@ def exact_jaccard_pairs(spark, sf):
     return neardup.shared_shingle_pairs(sets_of(numbered(spark, sf)), LSH).where("accepted").select("a", "b", "inter", "union")
 
 
+@query("SELECT archive, id FROM numbered WHERE ordinal IN (SELECT a FROM near UNION SELECT b FROM near)")
+def paired_documents(spark, sf):
+    """Documents of each archive that a pair at the threshold needs."""
+    docs = numbered(spark, sf)
+    return neardup.paired_documents(neardup.shared_shingle_pairs(sets_of(docs), LSH).where("accepted"), docs)
+
+
 @query(f"""SELECT a.ordinal AS a, b.ordinal AS b FROM sizes a JOIN sizes b ON a.ordinal < b.ordinal AND a.ordinal // 8 = b.ordinal // 8
     WHERE least(a.n, b.n) * {LSH.jaccard.denominator} >= greatest(a.n, b.n) * {LSH.jaccard.numerator}""")
 def length_ratio_candidates(spark, sf):

@@ -129,6 +129,27 @@ def largest_remainder(spark, sf):
     return spark.createDataFrame([(d, n[d], shares[d]) for d in n], "domain string, n long, allotted long")
 
 
+@query(f"""SELECT * FROM (WITH have AS (SELECT domain, rows FROM ({_AVAILABLE}) WHERE split = 'train'), parts(domain, k) AS (VALUES ('de', 1), ('en', 2), ('es', 1), ('fr', 1)),
+    totals AS (SELECT unnest(range(0, (SELECT coalesce(sum(rows), 0) FROM have)::BIGINT + 1)) AS n),
+    allotted AS (SELECT n, domain, (n * k) // 5 + CASE WHEN row_number() OVER (PARTITION BY n ORDER BY (n * k) % 5 DESC, domain) <= n - sum((n * k) // 5) OVER (PARTITION BY n) THEN 1 ELSE 0 END AS rows
+        FROM totals, parts),
+    best AS (SELECT max(n) AS n FROM (SELECT n FROM allotted a LEFT JOIN have h ON h.domain = a.domain GROUP BY n HAVING bool_and(a.rows <= coalesce(h.rows, 0))))
+    SELECT a.domain, coalesce(h.rows, 0)::BIGINT AS have, a.rows::BIGINT AS allotted FROM allotted a JOIN best USING (n) LEFT JOIN have h ON h.domain = a.domain)""")
+def feasible_rows(spark, sf):
+    """The longest order that the weights allow: rows there are and rows allotted of each domain."""
+    there = pack.available(index(spark, sf), PACK).where("split = 'train'").select("domain", "rows").collect()  # a row a domain
+    have = {r.domain: r.rows for r in there}
+    shares = pack.largest_remainder(pack.feasible_rows(have, WEIGHTS), WEIGHTS)
+    return spark.createDataFrame([(d, have.get(d, 0), n) for d, n in shares.items()], "domain string, have long, allotted long")
+
+
+@query(f"""SELECT domain, row_id FROM (SELECT domain, unnest(range(0, rows)) AS row_id FROM ({_AVAILABLE}) WHERE split = 'train')
+    ORDER BY sha256('{SEED}:sample:' || domain || ':' || row_id) LIMIT 25""")
+def row_sample(spark, sf):
+    """Twenty-five training rows, drawn without replacement."""
+    return pack.row_sample(train_rows(spark, sf), 25, SEED)
+
+
 _ORDER_CTE = f"""SELECT (row_number() OVER (ORDER BY sha256('{SEED}:mix:' || domain || ':' || row_id)) - 1)::BIGINT AS position, domain, row_id FROM (
     SELECT domain, row_id, row_number() OVER (PARTITION BY domain ORDER BY sha256('{SEED}:pick:' || domain || ':' || row_id)) - 1 AS place
     FROM (SELECT domain, unnest(range(0, rows)) AS row_id FROM ({_AVAILABLE}) WHERE split = 'train')) WHERE place < 40"""
