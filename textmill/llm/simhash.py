@@ -169,7 +169,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with one row left of each class of near duplicates: the one of least id."""
-    found = near_duplicates(docs, width, id_col, text_col)
+    return least_of_each(docs, near_duplicates(docs, width, id_col, text_col), id_col, text_col)
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns, with the row of least id left of each class in `found` (doc_id, text_key, root)."""
     # a null id comes after all others
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("t"))).alias("f")
     stay = cut(found.groupBy("root").agg(first).select(F.col("f.i").alias("__stay_id"), F.col("f.t").alias("__stay_key")))
