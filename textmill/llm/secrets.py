@@ -31,7 +31,7 @@ BINS = 16
 TRIED = 6
 LABELLED = 6000
 BESIDE = 48
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,64}}[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{LEAST},}}"
 #: Words that identifiers, placeholders and prose are made of.
 DICTIONARY = (
     "access account admin address alpha apple auth backup beta branch build button cache change client cloud code "
