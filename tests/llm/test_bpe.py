@@ -59,13 +59,14 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
     codec = bpe.Codec(bpe.load_ranks(path), pattern)
     text = " ".join(f"word{i}x" for i in range(500)) * 2
     assert codec.decode(codec.encode(text)) == text.encode()
-    assert len(codec.young) <= 10 and len(codec.old) <= 10
+    memory = codec.ids_of.__self__
+    assert len(memory) <= 10 and len(memory.old) <= 10
 
 
 def test_queue_takes_lowest_rank_then_leftmost():
     rng = random.Random(2)
     items = [(rng.randrange(60_000), rng.randrange(1000)) for _ in range(2000)]
-    queue = bpe.RankQueue()
+    queue = bpe.RankQueue(60_000)
     for item in items:
         queue.push(*item)
     assert [queue.pop() for _ in items] == sorted(items) and not queue.top

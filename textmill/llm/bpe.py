@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable
 from heapq import heappop, heappush
 from itertools import chain
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 #: A vocabulary goes to every executor, so its file is bounded; a larger one is an error.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: Longer pre-tokens aren't remembered.
 REMEMBERED_LENGTH = 64
 _LOW_BITS = 8
@@ -42,56 +43,67 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank: a bitmap of ranks in words of 256 bits, and a bitmap of the words that aren't empty."""
+    """Linked-list positions by rank under a bitmap of two levels: words of 256 ranks, and which words aren't empty.
+
+    A bucket is a position, a heap of them, or None; a drained queue is as new.
+    """
 
     __slots__ = ("top", "words", "buckets")
 
-    def __init__(self) -> None:
+    def __init__(self, ranks: int) -> None:
         self.top = 0
-        self.words: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
+        self.words = [0] * ((ranks >> _LOW_BITS) + 1)
+        self.buckets: list[int | list[int] | None] = [None] * ranks
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
+        bucket = self.buckets[rank]
+        if bucket is None:
+            self.buckets[rank] = position
+            high = rank >> _LOW_BITS
+            word = self.words[high]
+            if not word:
+                self.top |= 1 << high
+            self.words[high] = word | 1 << (rank & _LOW)
+        elif bucket.__class__ is int:
+            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+        else:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        high = rank >> _LOW_BITS
-        self.words[high] = self.words.get(high, 0) | (1 << (rank & _LOW))
-        self.top |= 1 << high
 
     def pop(self) -> tuple[int, int]:
         """Lowest rank and its leftmost position; the queue must not be empty."""
-        high = (self.top & -self.top).bit_length() - 1
+        top = self.top
+        high = (top & -top).bit_length() - 1
         word = self.words[high]
-        low = (word & -word).bit_length() - 1
-        rank = high << _LOW_BITS | low
+        rank = high << _LOW_BITS | (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            word &= word - 1
-            self.words[high] = word
-            if not word:
-                self.top &= self.top - 1
+        if bucket.__class__ is list:
+            position = heappop(bucket)
+            if bucket:
+                return rank, position
+        else:
+            position = bucket
+        self.buckets[rank] = None
+        word &= word - 1
+        self.words[high] = word
+        if not word:
+            self.top = top & top - 1
         return rank, position
 
 
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Ids of one pre-token."""
-    whole = ranks.get(piece)
+def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> tuple[int, ...]:
+    """Ids of one pre-token; the queue is empty before and after."""
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return (whole,)
     n = len(piece)
-    queue, get = RankQueue(), ranks.get
-    pair = [-1] * n  # rank of the pair that starts here, -1 if it has none or nothing starts here
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            pair[i] = rank
-            queue.push(rank, i)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     push, pop = queue.push, queue.pop
+    pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts here, -1 without one
+    for i, rank in enumerate(pair):
+        if rank >= 0:
+            push(rank, i)
+    pair.append(-1)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while queue.top:
         rank, i = pop()
         if pair[i] != rank:
@@ -102,22 +114,18 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         after[i] = end
         if end < n:
             before[end] = i
-            new = get(piece[i : after[end]])
-            if new is None:
-                pair[i] = -1
-            else:
-                pair[i] = new
+            pair[i] = new = get(piece[i : after[end]], -1)
+            if new >= 0:
                 push(new, i)
         else:
             pair[i] = -1
         left = before[i]
         if left >= 0:
-            new = get(piece[left:end])
-            if new is None:
-                pair[left] = -1
-            elif pair[left] != new:
+            new = get(piece[left:end], -1)
+            if pair[left] != new:
                 pair[left] = new
-                push(new, left)
+                if new >= 0:
+                    push(new, left)
     ids, i = [], 0
     while i < n:
         j = after[i]
@@ -126,39 +134,41 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ids)
 
 
-class Codec:
-    """Encoder and decoder; remembers the ids of recent pre-tokens, a bounded number of them."""
+class _Memory(dict):
+    """Ids by pre-token, in two generations; a subscript computes what neither holds."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
-        self.pieces = regex.compile(pattern).findall
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.names = {rank: str(rank) for rank in ranks.values()}
-        self.young: dict[str, tuple[int, ...]] = {}
+    __slots__ = ("old", "ranks", "queue")
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
         self.old: dict[str, tuple[int, ...]] = {}
+        self.ranks = ranks
+        self.queue = RankQueue(max(ranks.values(), default=-1) + 1)
 
-    def _missed(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece)
         if ids is None:
-            ids = encode_piece(piece.encode("utf-8", "surrogatepass"), self.ranks)
+            ids = encode_piece(piece.encode("utf-8", "surrogatepass"), self.ranks, self.queue)
             if len(piece) > REMEMBERED_LENGTH:
                 return ids
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[piece] = ids
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
+
+class Codec:
+    """Encoder and decoder; remembers the ids of recent pre-tokens, a bounded number of them."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.ranks = ranks
+        self.pieces = regex.compile(pattern).findall
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in ranks.values()}
+        self.ids_of = _Memory(ranks).__getitem__
+
     def encode(self, text: str) -> list[int]:
-        get, missed = self.young.get, self._missed
-        found = []
-        add = found.append
-        for piece in self.pieces(text):
-            ids = get(piece)
-            if ids is None:
-                ids = missed(piece)
-                get = self.young.get
-            add(ids)
-        return list(chain.from_iterable(found))
+        return list(chain.from_iterable(map(self.ids_of, self.pieces(text))))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -187,14 +197,31 @@ def _shared(spark, path: str, pattern: str):
     return spark.sparkContext.broadcast(ranks), int.from_bytes(digest.digest()[:8], "big")
 
 
+class _Rows:
+    """Rows of ids, gathered into one flat buffer without a Python number for each."""
+
+    def __init__(self) -> None:
+        self.flat, self.ends = array("i"), array("i", [0])
+
+    def add(self, ids: list[int]) -> None:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def arrow(self) -> pa.ListArray:
+        whole = lambda a: pa.Array.from_buffers(pa.int32(), len(a), [None, pa.py_buffer(a)])
+        return pa.ListArray.from_arrays(whole(self.ends), whole(self.flat))
+
+
 def encoder(spark, path: str, pattern: str):
     """Function from a text column to a column of ids (array<int>)."""
     ranks, key = _shared(spark, path, pattern)
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        codec = _codec(key, ranks, pattern)
-        return pa.array((codec.encode(t.as_py() or "") for t in texts), pa.list_(pa.int32()))
+        codec, rows = _codec(key, ranks, pattern), _Rows()
+        for t in texts:
+            rows.add(codec.encode(t.as_py() or ""))
+        return rows.arrow()
 
     return encode
 
@@ -211,6 +238,23 @@ def decoder(spark, path: str, pattern: str):
     return decode
 
 
+def encoded(spark, text: Column, path: str, pattern: str) -> Column:
+    """Struct ids (array<int>), round_trip (whether these very ids decode to the text) of a text column, encoded once."""
+    ranks, key = _shared(spark, path, pattern)
+
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def of(texts: pa.Array) -> pa.Array:
+        codec, rows, same = _codec(key, ranks, pattern), _Rows(), []
+        for t in texts:
+            t = t.as_py() or ""
+            ids = codec.encode(t)
+            same.append(codec.decode(ids) == t.encode("utf-8", "surrogatepass"))
+            rows.add(ids)
+        return pa.StructArray.from_arrays([rows.arrow(), pa.array(same, pa.bool_())], names=["ids", "round_trip"])
+
+    return of(text)
+
+
 def digests(spark, text: Column, path: str, pattern: str) -> Column:
     """Struct n_tokens, ids_sha256, decoded_sha256 of a text column: encoded, decoded from the ids, and hashed."""
     ranks, key = _shared(spark, path, pattern)
