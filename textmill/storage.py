@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,13 +22,29 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share.
+
+    Only where all run in one process may the session leave `spark.checkpoint.dir` unset; on a cluster a folder of the
+    driver's would be out of the executors' sight, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textmill-checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="textmill-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate files, wherever Spark's file systems keep it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and written to the shared folder, so lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
