@@ -33,30 +33,31 @@ def test_gradients_agree_with_differences():
 
 
 def plain(model, text):
-    """Mean of position probabilities, one byte and one window at a time."""
-    p, data = model.p, text.encode()
+    """Mean of position probabilities, one byte at a time over the whole text."""
+    p, data, states = model.p, text.encode(), {}
     sig = lambda x: 1 / (1 + np.exp(-x))
     total = np.zeros(len(model.langs))
-    for at in range(0, len(data), lang_id.WINDOW):
-        window, states = data[at : at + lang_id.WINDOW], {}
-        for d, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
-            h = np.zeros((p["cf"].shape[0], 1))
-            m = len(h)
-            for i in order:
-                x, u = p["x" + d][window[i]][:, None].astype(float), p["u" + d].astype(float) @ h
-                z, r = sig(x[:m] + u[:m]), sig(x[m : 2 * m] + u[m : 2 * m])
-                n = np.tanh(x[2 * m :] + r * (u[2 * m :] + p["c" + d]))
-                h = (1 - z) * n + z * h
-                states[d, i] = h
-        for i in range(len(window)):
-            q = np.exp(p["of"] @ states["f", i] + p["ob"] @ states["b", i] + p["bias"])
-            total += (q / q.sum())[:, 0]
+    for d, order in (("f", range(len(data))), ("b", range(len(data) - 1, -1, -1))):
+        h = np.zeros((p["cf"].shape[0], 1))
+        m = len(h)
+        for i in order:
+            x, u = p["x" + d][data[i]][:, None].astype(float), p["u" + d].astype(float) @ h
+            z, r = lang_id.KEEP * sig(x[:m] + u[:m]), sig(x[m : 2 * m] + u[m : 2 * m])
+            n = np.tanh(x[2 * m :] + r * (u[2 * m :] + p["c" + d]))
+            h = (1 - z) * n + z * h
+            states[d, i] = h
+    for i in range(len(data)):
+        q = np.exp(p["of"] @ states["f", i] + p["ob"] @ states["b", i] + p["bias"])
+        total += (q / q.sum())[:, 0]
     return total / max(1, len(data))
 
 
-def test_batches_agree_with_one_byte_at_a_time(model, monkeypatch):
-    monkeypatch.setattr(lang_id, "BLOCK", 3)
-    texts = ["", "x", "été 漢字", "a" * 63, "b" * 64, "c" * 65, "hello world " * 40, "z"]
+@pytest.mark.parametrize("sizes", [(256, 512), (64, 3), (16, 2), (5, 1)])
+def test_batches_agree_with_one_byte_at_a_time(model, monkeypatch, sizes):
+    """Windows and blocks of any size leave no trace: states are carried over their borders, both ways."""
+    monkeypatch.setattr(lang_id, "WINDOW", sizes[0])
+    monkeypatch.setattr(lang_id, "BLOCK", sizes[1])
+    texts = ["", "x", "été 漢字", "a" * 63, "b" * 64, "c" * 65, "hello world " * 40, "", "z", "Straße " * 90]
     a = pa.array(texts, pa.large_string())
     _, offsets, data = a.buffers()
     got = model.probabilities(np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int64)[: len(texts) + 1])
@@ -64,6 +65,31 @@ def test_batches_agree_with_one_byte_at_a_time(model, monkeypatch):
         assert np.allclose(q, plain(model, t), atol=1e-4)
 
 
+def test_a_first_byte_is_remembered_over_windows(monkeypatch):
+    """A network that holds its state for good: what the first byte says reaches the last window, however slow to settle."""
+    p = {k: np.zeros_like(v) for k, v in lang_id._init(2, 1, np.random.default_rng(0)).items()}
+    p["xf"][:, 0] = 30.0  # update gate shut: the state stays
+    p["xf"][ord("!")] = (-30.0, 0.0, 9.0)
+    p["of"][:, 0] = (4.0, -4.0)
+    model = lang_id.Model(("marked", "plain"), p)
+    monkeypatch.setattr(lang_id, "KEEP", 1.0)
+    monkeypatch.setattr(lang_id, "WINDOW", 16)
+    monkeypatch.setattr(lang_id, "BLOCK", 4)
+    for text in ("!" + "a" * 2000, "a" * 2000):
+        data = np.frombuffer(text.encode(), np.uint8)
+        (q,) = model.probabilities(data, np.array([0, len(data)]))
+        assert np.allclose(q, (1.0, 0.0) if text[0] == "!" else (0.5, 0.5), atol=2e-3)
+
+
+def test_stretches_hold_whole_texts():
+    for n in (1, 63, 64, 65, 128, 1000):
+        text = "".join(chr(65 + k % 26) for k in range(n))
+        rows = lang_id.stretches(text)
+        joined = rows.tobytes().decode()
+        assert rows.shape[1] == 64 and len(rows) == max(1, -(-n // 64)) and joined[: n // 64 * 64] == text[: n // 64 * 64]
+        assert joined.endswith(text[-64:]) or (n < 64 and joined.startswith(text))
+
+
 def test_held_out_accuracy(spark, sf_mid):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_mid}/documents.parquet").collect()}
     out = QUERIES["op9_lang_id"](spark, sf_mid).collect()

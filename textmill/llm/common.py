@@ -1,5 +1,5 @@
 """What the operators of this subpackage take from the library."""
 
-from textmill.storage import cut, read, shared_dir
+from textmill.storage import cut, discard, read, shared_dir, spread
 
-__all__ = ["cut", "read", "shared_dir"]
+__all__ = ["cut", "discard", "read", "shared_dir", "spread"]

@@ -1,12 +1,15 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in NumPy.
 
-The network reads a text's UTF-8 bytes in windows of `WINDOW`, forwards and backwards, and gives every position a
-probability for each language; a document's probabilities are the mean over all its positions, so long texts are read
-whole and in batches of bounded size. It learns by backpropagation through time with the document's language as every
+The network reads a text's UTF-8 bytes forwards and backwards and gives every position a probability for each language;
+a document's probabilities are the mean over all its positions, and long texts are read whole. To run many places at
+once a text is cut into windows of `WINDOW` bytes, whose states are then carried over: each window is read anew from
+the state that its neighbour ends with, up to the byte from which nothing changes by more than `SETTLED`, which a gated
+network reaches soon; what hasn't settled at a window's end goes on into the next. So the windows' borders leave no
+trace. The network learns by backpropagation through time over `STRETCH` bytes with the document's language as every
 position's label.
 
-Training uses at most `SAMPLE` documents of each language, chosen by a hash of their id, and `EXCERPTS` windows of each;
-that bound is the only thing here that doesn't grow with the data. Languages are weighted alike.
+Training uses at most `SAMPLE` documents of each language, chosen by a hash of their id, and their whole texts; that
+bound is the only thing here that doesn't grow with the data. Languages are weighted alike.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0; so is everything when there is nothing to
 learn from; null languages and null ids teach nothing; repeated rows are predicted alike; an empty table gives an
@@ -15,6 +18,7 @@ empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,14 +26,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 64
+WINDOW = 256
 HIDDEN = 8
 SAMPLE = 400
-EXCERPTS = 16
+#: Bytes that training goes back through.
+STRETCH = 64
+#: Least number of training steps; more if a language's stretches need more to be read once.
 STEPS = 150
 BATCH = 384
 #: Windows read at once; the arrays of a step stay in a core's cache.
-BLOCK = 2048
+BLOCK = 1024
+SETTLED = 5e-5
+#: The most of its state that a step keeps: what a byte says fades, so carried states settle within a few dozen bytes.
+KEEP = 0.8
+#: Steps between looks whether carried states have settled.
+LOOK = 8
 UNKNOWN = "und"
 _DIRECTIONS = ("f", "b")
 
@@ -57,7 +68,7 @@ def _forward(p, d, steps, hidden):
         x = p["x" + d][b].T
         u = p["u" + d] @ h
         zr = _sigmoid(x[: 2 * hidden] + u[: 2 * hidden])
-        z, r = zr[:hidden], zr[hidden:]
+        z, r = KEEP * zr[:hidden], zr[hidden:]
         un = u[2 * hidden :] + p["c" + d]
         n = np.tanh(x[2 * hidden :] + r * un)
         new = n + z * (h - n)
@@ -77,7 +88,7 @@ def _backward(p, d, kept, into, hidden, grad):
         if mask is not None:
             g = g * mask
         dn = g * (1 - z) * (1 - n * n)
-        dz = g * (h - n) * z * (1 - z)
+        dz = g * (h - n) * z * (1 - z / KEEP)
         dr = dn * un * r * (1 - r)
         dun = dn * r
         du = np.concatenate([dz, dr, dun])
@@ -122,17 +133,17 @@ class Model:
     langs: tuple[str, ...]
     p: dict[str, np.ndarray]
 
-    def _states(self, d: str, steps, count: int) -> np.ndarray:
-        """States (step, hidden, windows) of a direction, in the order of `steps`; each a byte row and a mask or None."""
-        p, hidden = self.p, self.p["cf"].shape[0]
+    def _states(self, d: str, steps, h: np.ndarray) -> np.ndarray:
+        """States (step, hidden, windows) of a direction from the states h on; `steps` each a byte row and a mask or None."""
+        p, hidden, count = self.p, self.p["cf"].shape[0], h.shape[1]
         two = 2 * hidden
         # the logistic function by tanh of half the sum
         half = np.ones((3 * hidden, 1), np.float32)
         half[:two] = 0.5
         table = np.ascontiguousarray(p["x" + d] * half.T)
         weights, bias = p["u" + d] * half, p["c" + d]
+        scale = half[:two] * np.repeat(np.array([[KEEP], [1]], np.float32), hidden, axis=0)
         out = np.empty((len(steps), hidden, count), np.float32)
-        h = np.zeros((hidden, count), np.float32)
         u = np.empty((3 * hidden, count), np.float32)
         x = np.empty((count, 3 * hidden), np.float32)
         for t, (b, mask) in enumerate(steps):
@@ -141,8 +152,8 @@ class Model:
             zr, n = u[:two], u[two:]
             zr += x[:, :two].T
             np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
+            zr *= scale
+            zr += scale
             n += bias
             n *= zr[hidden:]
             n += x[:, two:].T
@@ -156,23 +167,50 @@ class Model:
             h = new
         return out
 
-    def _pooled(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def _carried(self, d: str, steps, linked: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """States of windows of which those `linked` go on where the one before ends, the first where `start` is."""
+        heads = np.flatnonzero(~linked | (np.arange(len(linked)) == 0))
+        first = np.zeros((self.p["cf"].shape[0], len(heads)), np.float32)
+        first[:, 0] = start
+        # a text goes on much as it begins: the end of its first window is a good guess, and settles soon
+        guess = self._states(d, [(b[heads], mask if mask is None else mask[heads]) for b, mask in steps], first)[-1]
+        begin = guess[:, np.searchsorted(heads, np.arange(len(linked)), "right") - 1]
+        begin[:, heads] = first
+        out = self._states(d, steps, begin)
+        while True:
+            due = begin.copy()
+            due[:, 1:] = np.where(linked[1:], out[-1][:, :-1], begin[:, 1:])
+            some = np.flatnonzero(np.abs(due - begin).max(0) > SETTLED)
+            if not len(some):
+                return out
+            begin[:, some] = h = due[:, some]
+            for t in range(0, len(steps), LOOK):
+                new = self._states(d, [(b[some], mask if mask is None else mask[some]) for b, mask in steps[t : t + LOOK]], h)
+                moved = np.abs(new[-1] - out[t + len(new) - 1][:, some]).max(0) > SETTLED
+                out[t : t + len(new), :, some] = new
+                some, h = some[moved], new[-1][:, moved]
+                if not len(some):
+                    break
+
+    def _backwards(self, windows: np.ndarray, lengths: np.ndarray, linked: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """States of the way back, the last window and the last byte first; what lies behind a text's end is zero."""
+        shortest = int(lengths.min())
+        masks = [None if t < shortest else (lengths[::-1] > t).astype(np.float32) for t in range(windows.shape[1])]
+        rows = np.ascontiguousarray(windows[::-1].T)
+        return self._carried("b", list(zip(rows, masks))[::-1], linked, start)
+
+    def _pooled(self, windows: np.ndarray, lengths: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Sum over a window's positions of their probabilities, (windows, languages)."""
-        rows = np.ascontiguousarray(windows.T)
         shortest = int(lengths.min())
-        masks = [None if t < shortest else (lengths > t).astype(np.float32) for t in range(len(rows))]
-        steps = list(zip(rows, masks))
-        f = self._states("f", steps, len(windows))
-        b = self._states("b", steps[::-1], len(windows))
         total = np.zeros((len(self.langs), len(windows)), np.float32)
-        for t, (_, mask) in enumerate(steps):
+        for t in range(windows.shape[1]):
             q = self.p["of"] @ f[t]
-            q += self.p["ob"] @ b[-1 - t]
+            q += self.p["ob"] @ b[-1 - t][:, ::-1]
             q += self.p["bias"]
             np.exp(q, out=q)  # logits are bounded by the weights, states lying between -1 and 1
             q /= q.sum(0)
-            if mask is not None:
-                q *= mask
+            if t >= shortest:
+                q *= lengths > t
             total += q
         return total.T
 
@@ -184,29 +222,58 @@ class Model:
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts = offsets[:-1][doc] + nth * WINDOW
         lengths = np.minimum(offsets[1:][doc] - starts, WINDOW)
-        order = np.argsort(-lengths, kind="stable")  # whole windows first: they need no masks
         total = np.zeros((len(sizes), len(self.langs)))
         padded = np.concatenate([data[: offsets[-1]], np.zeros(WINDOW, np.uint8)])
         views = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
-        whole = int((lengths == WINDOW).sum())
-        cuts = [*range(0, whole, BLOCK), *range(whole, len(order), BLOCK), len(order)]
-        for a, z in zip(cuts, cuts[1:]):
-            some = order[a:z]
-            sums = self._pooled(views[starts[some]], lengths[some])
-            np.add.at(total, doc[some], sums)
+        goes_on, follows = np.append(nth[1:] > 0, False), nth > 0
+        # between texts where that can be: only texts of over BLOCK windows go on in the next block
+        begins, blocks, a = np.append(np.flatnonzero(~follows), len(doc)), [], 0
+        while a < len(doc):
+            z = int(begins[np.searchsorted(begins, a + BLOCK, "right") - 1])
+            blocks.append(slice(a, z if z > a else a + BLOCK))
+            a = blocks[-1].stop
+        zero = np.zeros(self.p["cf"].shape[0], np.float32)
+        back = lambda k, start: self._backwards(views[starts[k]], lengths[k], goes_on[k][::-1], start)
+        # where a text goes on in the next block, the state that comes back from there
+        behind, known = [zero] * len(blocks), {}
+        for i in range(len(blocks) - 1, 0, -1):
+            if nth[blocks[i].start]:
+                known = {i: back(blocks[i], behind[i])}
+                behind[i - 1] = known[i][-1][:, -1]
+        ahead = zero
+        for i, k in enumerate(blocks):
+            windows = views[starts[k]]
+            f = self._carried("f", [(row, None) for row in np.ascontiguousarray(windows.T)], follows[k], ahead if follows[k.start] else zero)
+            b = known.pop(i) if i in known else back(k, behind[i])
+            ahead = f[-1][:, -1]
+            np.add.at(total, doc[k], self._pooled(windows, lengths[k], f, b))
         return total / np.maximum(sizes, 1)[:, None]
 
 
+def stretches(text: str) -> np.ndarray:
+    """The whole text as rows of STRETCH bytes; the last one reaches back, and a shorter text is repeated."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    if len(data) < STRETCH:
+        return np.resize(data, (1, STRETCH))
+    whole = data[: len(data) // STRETCH * STRETCH].reshape(-1, STRETCH)
+    return np.concatenate([whole, data[None, -STRETCH:]]) if len(data) % STRETCH else whole
+
+
 def fit(
     windows: np.ndarray, labels: np.ndarray, langs: tuple[str, ...], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11
 ) -> Model:
-    """Model from (n, WINDOW) byte windows and the index of each one's language; languages are drawn alike."""
+    """Model from (n, STRETCH) byte rows and the index of each one's language.
+
+    Every row is read; languages come up alike, so those with fewer rows are read again.
+    """
     rng = np.random.default_rng(seed)
     p = _init(len(langs), hidden, rng)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    groups = [np.flatnonzero(labels == k) for k in range(len(langs))]
+    groups = [rng.permutation(np.flatnonzero(labels == k)) for k in range(len(langs))]
+    each = -(-batch // len(langs))
+    steps = max(steps, -(-max(map(len, groups)) // each))
     for step in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(g, -(-batch // len(langs))) for g in groups])
+        pick = np.concatenate([np.take(g, np.arange((step - 1) * each, step * each), mode="wrap") for g in groups])
         _, grad = loss_and_gradients(p, windows[pick], labels[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
@@ -220,34 +287,30 @@ def fit(
 
 
 def train(
-    docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE, excerpts: int = EXCERPTS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, usable: Callable[[Column], Column] | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model | None:
-    """Model from the documents whose language is known; `usable` is a condition on their ids. None without any."""
+    """Model from the documents whose language is known; `usable` makes a condition of the id column. None without any."""
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(
-        F.col("i").isNotNull() & F.col("l").isNotNull() & (F.length("t") > 0) & (F.lit(True) if usable is None else usable)
+        F.col("i").isNotNull() & F.col("l").isNotNull() & (F.length("t") > 0) & (F.lit(True) if usable is None else usable(F.col("i")))
     )
     counts = {r.l: r.n for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for l, n in sorted(counts.items()) for x in (l, sample / max(n, sample))))
     draw = F.pmod(F.xxhash64(F.lit("lang"), "i"), F.lit(1 << 30))
-    places = F.transform(F.sequence(F.lit(1), F.lit(excerpts)), lambda k: F.pmod(F.xxhash64("i", k), F.greatest(F.length("t") - WINDOW + 1, F.lit(1))))
-    cut = F.transform(places, lambda at: F.col("t").substr((at + 1).cast("int"), F.lit(WINDOW)))
-    picked = known.where(draw < F.element_at(share, F.col("l")) * (1 << 30)).select("i", "l", draw.alias("draw"), F.array_distinct(cut).alias("w"))
+    picked = known.where(draw < F.element_at(share, F.col("l")) * (1 << 30)).select("i", "l", draw.alias("draw"), "t")
     langs = tuple(sorted(counts))
     rows, labels, seen = [], [], dict.fromkeys(langs, 0)
-    for r in sorted(picked.toArrow().to_pylist(), key=lambda r: (r["draw"], r["i"])):
+    for r in sorted(picked.toArrow().to_pylist(), key=lambda r: (r["draw"], r["i"], r["t"])):
         seen[r["l"]] += 1
         if seen[r["l"]] <= sample:
-            for w in r["w"]:
-                w = w.encode()[:WINDOW]
-                rows.append(np.resize(np.frombuffer(w, np.uint8), WINDOW))  # short texts are repeated
-                labels.append(langs.index(r["l"]))
-    langs_seen = sorted(set(labels))
+            rows.append(stretches(r["t"]))
+            labels += [langs.index(r["l"])] * len(rows[-1])
     if not rows:
         return None
-    index = {k: j for j, k in enumerate(langs_seen)}
-    return fit(np.stack(rows), np.array([index[k] for k in labels]), tuple(langs[k] for k in langs_seen))
+    labels = np.array(labels)
+    there = np.unique(labels)
+    return fit(np.concatenate(rows), np.searchsorted(there, labels), tuple(langs[k] for k in there))
 
 
 def predict(text: Column, model: Model | None) -> Column:
@@ -276,6 +339,6 @@ def predict(text: Column, model: Model | None) -> Column:
         langs = pa.array(model.langs, pa.string()).take(pa.array(best))
         return pa.StructArray.from_arrays([langs, pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
-    # unread where there is no letter; in a variable of its own the function runs once a row
+    # the function runs for every row, whatever stands around it; without a letter it gets nothing to read
     letters = F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
-    return F.when(letters, of(text)).otherwise(unknown)
+    return F.when(letters, of(F.when(letters, text))).otherwise(unknown)

@@ -34,9 +34,9 @@ def op3_ann(spark, sf_dir):
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-def remainder(modulus: int):
+def remainder(modulus: int, doc_id=None):
     """crc32 of the doc_id's text, modulo; null for a null id."""
-    return F.crc32(F.col("doc_id").cast("string")) % modulus
+    return F.crc32((F.col("doc_id") if doc_id is None else doc_id).cast("string")) % modulus
 
 
 def op4_toxicity(spark, sf_dir):
@@ -75,8 +75,7 @@ def op8_mixing(spark, sf_dir):
 
 def op9_lang_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    usable = F.crc32(F.col("i").cast("string")) % 4 != 2
-    model = lang_id.train(docs, usable=usable)
+    model = lang_id.train(docs, usable=lambda i: remainder(4, i) != 2)
     held = F.coalesce(remainder(4) == 2, F.lit(False))
     return docs.select("doc_id", held.alias("held_out"), lang_id.predict(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
 
