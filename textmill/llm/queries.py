@@ -108,17 +108,22 @@ ORACLES = {
             FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)
         ), spread AS (
             SELECT bare, min(coalesce(doc_id, 9223372036854775807)) AS first_id FROM lines WHERE bare <> ''
-            GROUP BY bare HAVING count(DISTINCT coalesce(source, chr(0))) >= {line_dedup.MIN_SITES}
+            GROUP BY bare HAVING count(DISTINCT coalesce(source, chr(0))) >=
+                CASE WHEN len(regexp_extract_all(bare, '[^\\x20\\x09-\\x0D]+')) >= {line_dedup.LONG_WORDS} THEN {line_dedup.LONG_SITES} ELSE {line_dedup.MIN_SITES} END
         ), firsts AS (
             SELECT l.bare, any_value(s.first_id) AS first_id, min(l.pos) AS first_pos
             FROM lines l JOIN spread s ON l.bare = s.bare AND coalesce(l.doc_id, 9223372036854775807) = s.first_id GROUP BY l.bare
         ), marked AS (
-            SELECT l.*, f.bare IS NOT NULL AND NOT (l.doc_id = f.first_id AND l.pos = f.first_pos) AS gone
+            SELECT l.*, f.bare IS NOT NULL AND NOT (l.doc_id = f.first_id AND l.pos = f.first_pos) AS repeated
             FROM lines l LEFT JOIN firsts f ON l.bare = f.bare
+        ), judged AS (
+            SELECT *, repeated AND sum(CASE WHEN repeated THEN length(bare) ELSE 0 END) OVER (PARTITION BY doc_id) * {line_dedup.MOST[1]}
+                   <= sum(length(bare)) OVER (PARTITION BY doc_id) * {line_dedup.MOST[0]} AS gone
+            FROM marked
         ), kept AS (
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
                    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
-            FROM marked GROUP BY doc_id
+            FROM judged GROUP BY doc_id
         )
         SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
                length(k.text) AS n_chars, md5(k.text) AS text_md5
