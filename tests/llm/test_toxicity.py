@@ -43,6 +43,43 @@ def test_pieces_do_not_change_words(monkeypatch):
     assert all((a == b).all() for a, b in zip(want, got))
 
 
+def test_a_long_word_is_one_word_whatever_stands_before_it():
+    """Far longer than a piece: the hash goes on from piece to piece, and neighbours in the batch change nothing."""
+    long = "a" * (3 * toxicity.PIECE + 5)
+    model = toxicity.Model(0.0, np.arange(1 << toxicity.BITS), np.random.default_rng(0).normal(size=1 << toxicity.BITS).astype(np.float32))
+    dense = model.dense()
+    alone = model.score(pa.array([f"x {long} y"]), dense)[0]
+    for before in ("", "b", "b " * 1000, "b" * (toxicity.PIECE - 3), "b" * 2 * toxicity.PIECE + " "):
+        got = model.score(pa.array([before, f"x {long} y", "z"]), dense)
+        assert got[1] == alone and len(toxicity.distinct_features(pa.array([before, f"x {long} y"]))[1]) == 6
+
+
+def test_ftrl_agrees_with_one_coordinate_at_a_time():
+    """The update of the published algorithm, written out for each coordinate."""
+    rng = np.random.default_rng(5)
+    data = [(np.unique(rng.integers(0, 50, 8)).astype(np.int32), int(rng.random() < 0.4)) for _ in range(60)]
+    alpha, beta, l1, l2, epochs, seed = 0.7, 1.0, 0.3, 0.05, 2, 17
+    z, n = {}, {}
+
+    def weight(i, l1, l2):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / ((beta + ni**0.5) / alpha + l2)
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in order.permutation(len(data)):
+            some, label = data[k]
+            w = {int(i): weight(int(i), l1, l2) for i in some} | {"bias": weight("bias", 0.0, 0.0)}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for i in w:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    want = {i: weight(i, l1, l2) for i in z if i != "bias" and weight(i, l1, l2)}
+    model = toxicity.fit(data, epochs, alpha, beta, l1, l2, seed)
+    assert model.index.tolist() == sorted(want) and 0 < len(want) < 50
+    assert np.allclose(model.weight, [want[i] for i in sorted(want)], atol=1e-6) and abs(model.bias - weight("bias", 0.0, 0.0)) < 1e-9
+
+
 def test_features_count_words_neighbours_and_skips():
     texts = ["one two three four", "", "one one one", "solo", "."]
     a = pa.array(texts)

@@ -10,7 +10,7 @@ thing here that doesn't grow with the data.
 
 Defined cases: null and wordless texts score by the bias alone; a document labelled more than once counts as 1 if any
 label is 1; null labels and null ids teach nothing; without labels every score is 0.5; repeated rows score alike; an
-empty table gives an empty result. A run of word bytes of over `PIECE` bytes counts as several words.
+empty table gives an empty result. A word may have any length; a document's score doesn't depend on its neighbours.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 BITS = 20
 SAMPLE = 4000
-PIECE = 1 << 20
+#: Bytes hashed at once; words go on from one piece to the next.
+PIECE = 1 << 16
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _PAIR, _SKIP = np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
@@ -43,23 +44,33 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     hashes, places = [], []
     at, end = int(offsets[0]), int(offsets[-1])
     borders = np.unique(offsets)
+    open_, open_at = None, 0  # sum and place of the word that the last piece ended in
     while at < end:
         stop = min(at + PIECE, end)
-        if stop < end:  # not within a word, if that can be helped
-            gaps = np.flatnonzero(~_IS_WORD[data[at:stop]])
-            stop = at + int(gaps[-1]) + 1 if len(gaps) else stop
         part = data[at:stop]
         word = _IS_WORD[part]
         fresh = np.zeros(len(part) + 1, bool)
         fresh[borders[np.searchsorted(borders, at) : np.searchsorted(borders, stop, "right")] - at] = True
-        fresh[0] = fresh[-1] = True
         before = np.concatenate([[False], word])
         after = np.concatenate([word, [False]])
         starts = np.flatnonzero(after & (~before | fresh))
         ends = np.flatnonzero(before & (~after | fresh))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(part)])])
-        hashes.append(_mixed((sums[ends] - sums[starts]) * _INVERSE[starts]))
-        places.append(starts + at)
+        found, where = (sums[ends] - sums[starts]) * _INVERSE[starts], starts + at
+        goes_on = stop < end and bool(word[-1]) and not fresh[-1]
+        if open_ is not None:
+            if word[0] and not fresh[0]:
+                power = np.uint64(pow(int(_RADIX), at - open_at, 1 << 64))
+                found[:1] = found[:1] * power + open_
+                where[0] = open_at
+            else:
+                found, where = np.concatenate([[open_], found]), np.concatenate([[open_at], where])
+            open_ = None
+        if goes_on:
+            open_, open_at = found[-1], int(where[-1])
+            found, where = found[:-1], where[:-1]
+        hashes.append(_mixed(found))
+        places.append(where)
         at = stop
     if not hashes:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
