@@ -47,3 +47,11 @@ def test_edges(spark):
     ]
     assert got[10] == ("org/", "allow") and got[11] == got[None] == got[0] and len(got) == 13
     assert url_filter.filter_urls(df.limit(0), URL_RULES).collect() == []
+
+
+def test_deep_rules(spark):
+    """Thousands of segments and labels, which a tree of objects couldn't be sent with."""
+    path, host = "/s" * 3000 + "/", "l." * 3000 + "org"
+    rules = [("block", "org", path), ("block", host, "/")]
+    df = spark.createDataFrame([(1, f"http://x.org{path}y"), (2, f"http://x.org{path[:-1]}"), (3, f"http://{host}/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(df, rules).collect()} == {1: "block", 2: "allow", 3: "block"}

@@ -14,11 +14,11 @@ import re
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The trie is sent to every executor, so what it is built from is bounded; more rules than this is an error.
+#: The trie is broadcast to every executor, so what it is built from is bounded; more rules than this is an error.
 MAX_RULE_BYTES = 64 << 20
 
 JUDGED = T.StructType(
@@ -35,22 +35,19 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_LOWER), found[2]) if found else ("", "")
 
 
-class _PathNode:
-    """Where a run of whole path segments ends: further segments, and the tails that rules have from here on."""
-
-    __slots__ = ("segments", "tails", "lengths")
-
-    def __init__(self) -> None:
-        self.segments: dict[str, _PathNode] = {}
-        self.tails: dict[str, tuple[str, str]] = {}
-        self.lengths: list[int] = []
-
-
 class UrlTrie:
-    """Host labels from the last to the first, then path segments; the last, unfinished segment is a tail."""
+    """Host labels from the last to the first, then path segments; the last, unfinished segment is a tail.
+
+    Nodes are numbers and edges rows of a dict, so rules of any depth are sent and searched without recursion.
+    """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]) -> None:
-        self.root: dict = {}
+        #: (node, label or segment) -> node; a None leads from a host to the paths below it
+        self.edges: dict[tuple[int, str | None], int] = {}
+        #: (node, tail) -> (rule, verdict)
+        self.tails: dict[tuple[int, str], tuple[str, str]] = {}
+        #: node -> lengths of its tails, the longest first
+        self.lengths: dict[int, list[int]] = {}
         size = 0
         for verdict, host, path in rules:
             if verdict not in ("allow", "block"):
@@ -58,55 +55,49 @@ class UrlTrie:
             size += len(host) + len(path)
             if size > MAX_RULE_BYTES:
                 raise ValueError(f"rules hold more than {MAX_RULE_BYTES} characters")
-            node = self.root
-            for label in reversed(host.split(".")) if host else ():
-                node = node.setdefault(label, {})
-            at = node.setdefault(None, _PathNode())
             *whole, tail = path.split("/")
-            for segment in whole:
-                at = at.segments.setdefault(segment, _PathNode())
-            if at.tails.get(tail, ("", "allow"))[1] == "allow":
-                at.tails[tail] = (host + path, verdict)
-            at.lengths = sorted({len(t) for t in at.tails}, reverse=True)
-
-    @staticmethod
-    def _longest_path(at: _PathNode, segments: list[str]) -> tuple[str, str] | None:
+            node = 0
+            for step in (*(reversed(host.split(".")) if host else ()), None, *whole):
+                node = self.edges.setdefault((node, step), len(self.edges) + 1)
+            if self.tails.get((node, tail), ("", "allow"))[1] == "allow":
+                self.tails[node, tail] = (host + path, verdict)
+            self.lengths[node] = sorted({len(tail), *self.lengths.get(node, ())}, reverse=True)
+
+    def _longest_path(self, node: int, segments: list[str]) -> tuple[str, str] | None:
         best = None
-        for i, segment in enumerate(segments):
-            for n in at.lengths:
-                if n <= len(segment) and (hit := at.tails.get(segment[:n])):
+        for segment in segments:
+            for n in self.lengths.get(node, ()):
+                if n <= len(segment) and (hit := self.tails.get((node, segment[:n]))):
                     best = hit
                     break
-            at = at.segments.get(segment)
-            if at is None:
+            node = self.edges.get((node, segment))
+            if node is None:
                 break
         return best
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits, or None."""
-        node, found = self.root, []
-        if None in node:
-            found.append(node[None])
-        for label in reversed(host.split(".")) if host else ():
-            node = node.get(label)
+        node, found = 0, []
+        for label in (*(reversed(host.split(".")) if host else ()), ""):
+            if (paths := self.edges.get((node, None))) is not None:
+                found.append(paths)
+            node = self.edges.get((node, label))
             if node is None:
                 break
-            if None in node:
-                found.append(node[None])
         segments = path.split("/")
-        for at in reversed(found):
-            if hit := self._longest_path(at, segments):
+        for paths in reversed(found):
+            if hit := self._longest_path(paths, segments):
                 return hit
         return None
 
 
 def judge(url: Column, rules: Iterable[tuple[str, str, str]], default: str = "allow") -> Column:
     """Struct of host, path, rule (null if none fits) and verdict (`default` if none fits) for a url column."""
-    trie = UrlTrie(rules)
+    shared = SparkSession.active().sparkContext.broadcast(UrlTrie(rules))
 
     @F.arrow_udf(JUDGED)
     def judged(urls: pa.Array) -> pa.Array:
-        rows = []
+        trie, rows = shared.value, []
         for u in urls.to_pylist():
             host, path = split_url(u)
             rule, verdict = trie.match(host, path) or (None, default)
