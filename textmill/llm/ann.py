@@ -17,9 +17,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.vectors import Best, search, usable
+from textmill.llm.vectors import Best, components, search, usable
 
-LEAF = 64
+LEAF = 128
 FACTOR = 1.25
 _SLACK = 1e-9
 
@@ -62,40 +62,54 @@ class VpTree:
 
 
 def kernel(factor: float):
-    """Search kernel over one shard."""
+    """Kernel of a shard: its tree is built once and asked block by block."""
 
-    def nearest(ids, vectors, query_ids, queries, k):
-        x, q = vectors.astype(np.float64), queries.astype(np.float64)
+    def of(ids: np.ndarray, vectors: np.ndarray):
+        x = vectors.astype(np.float64)
         # units keep squares of any finite components finite
         unit = max(np.abs(x).max(), np.finfo(float).tiny)
-        lengths = ((x / unit) ** 2).sum(1)
+        small = x / unit
+        lengths = (small**2).sum(1)
         top = lengths.max()
-        points = np.concatenate([x / unit, np.sqrt(np.maximum(top - lengths, 0))[:, None]], axis=1)
-        q_unit = np.maximum(np.abs(q).max(1), np.finfo(float).tiny)
-        # a query's length doesn't change its order: scaled to the points' greatest length
-        scaled = q / q_unit[:, None]
-        scaled *= np.sqrt(top / (scaled**2).sum(1))[:, None]
-        size = scaled / q  # any non-zero component gives the scale
-        size = np.nanmax(np.where(np.isfinite(size), size, np.nan), axis=1) / unit
-        asked = np.concatenate([scaled, np.zeros((len(q), 1))], axis=1)
-        best = Best(len(q), k)
-
-        def radius(rows):
-            worst = best.worst()[rows]
-            return np.sqrt(np.maximum(2 * top - 2 * worst * size[rows], 0)) if len(rows) else worst
-
-        def visit(rows, leaf):
-            # summed in one order for every pair, so equal vectors get equal scores
-            for at in range(0, len(rows), 256):
-                some = rows[at : at + 256]
-                scores = (q[some][:, None, :] * x[leaf][None, :, :]).sum(2)
-                scores[query_ids[some][:, None] == ids[leaf][None, :]] = -np.inf
-                best.offer(some, ids[leaf], scores)
-
-        VpTree(points).search(asked, radius, visit, factor)
-        return best.score, best.ids
-
-    return nearest
+        tree = VpTree(np.concatenate([small, np.sqrt(np.maximum(top - lengths, 0))[:, None]], axis=1))
+
+        def search(query_ids: np.ndarray, queries: np.ndarray, k: int):
+            q = queries.astype(np.float64)
+            q_unit = np.maximum(np.abs(q).max(1), np.finfo(float).tiny)
+            # a query's length doesn't change its order: scaled to the points' greatest length
+            plain = q / q_unit[:, None]
+            scale = np.sqrt(top / (plain**2).sum(1))
+            scaled = plain * scale[:, None]
+            size = scale / q_unit / unit  # a score times this is a product of the scaled query and a small point
+            asked = np.concatenate([scaled, np.zeros((len(q), 1))], axis=1)
+            best = Best(len(q), k)
+
+            def least(rows):
+                """The product with a small point that is still of interest; any, if the scale is beyond a double."""
+                worst, s = best.worst()[rows], size[rows]
+                known = np.isfinite(worst) & (s > 1e-290)
+                return np.where(known, np.where(known, worst, 0) * s, -np.inf)
+
+            def radius(rows):
+                return np.sqrt(np.maximum(2 * top - 2 * least(rows), 0))
+
+            def visit(rows, leaf):
+                # a matrix product tells which pairs may matter; those are summed in one order, so equal vectors tie
+                maybe = scaled[rows] @ small[leaf].T >= least(rows)[:, None] - _SLACK * (1 + top)
+                maybe &= query_ids[rows][:, None] != ids[leaf][None, :]
+                a, b = np.nonzero(maybe)
+                scores = np.full(maybe.shape, -np.inf)
+                for at in range(0, len(a), 65536):
+                    i, j = a[at : at + 65536], b[at : at + 65536]
+                    scores[i, j] = (q[rows[i]] * x[leaf[j]]).sum(1)
+                best.offer(rows, ids[leaf], scores)
+
+            tree.search(asked, radius, visit, factor)
+            return best.score, best.ids
+
+        return search
+
+    return of
 
 
 def nearest(
@@ -105,6 +119,6 @@ def nearest(
 
     `is_query` is a condition on the column vec_id.
     """
-    v = F.col(vector_col)
-    vectors = table.where(usable(v) & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+    v = components(table, vector_col)
+    vectors = table.where(usable(v) & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     return search(vectors, is_query, kernel(factor), k, "double")

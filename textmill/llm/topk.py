@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.vectors import NO_ID, Best, search, usable
+from textmill.llm.vectors import NO_ID, Best, components, search, usable
 
 SCALE = 256
 BUCKET = 256
@@ -46,14 +46,26 @@ def _large(ids, x, query_ids, q, k):
     return scores, out
 
 
-def kernel(ids, vectors, query_ids, queries, k):
-    """Search kernel over one shard."""
-    x, q = integers(vectors), integers(queries)
-    if x.size and q.size and not np.abs(x).max() * np.abs(q).max() * x.shape[1] < 2**53:
-        return _large(ids, x, query_ids, q, k)
-    length = np.sqrt((x**2).sum(1))
+def kernel(ids: np.ndarray, vectors: np.ndarray):
+    """Kernel of a shard: its norm buckets are made once and asked block by block."""
+    x = integers(vectors)
+    most = np.abs(x).max() if x.size else 0.0
+    with np.errstate(over="ignore"):
+        length = np.sqrt((x**2).sum(1))
     order = np.argsort(-length, kind="stable")
     ids, x, length = ids[order], x[order], length[order]
+
+    def search(query_ids: np.ndarray, queries: np.ndarray, k: int):
+        q = integers(queries)
+        if x.size and q.size and not most * np.abs(q).max() * x.shape[1] < 2**53:
+            return _large(ids, x, query_ids, q, k)
+        return _pruned(ids, x, length, query_ids, q, k)
+
+    return search
+
+
+def _pruned(ids, x, length, query_ids, q, k):
+    """Best of the buckets, whose vectors stand in order of length."""
     size = np.sqrt((q**2).sum(1))
     focus = np.argmax(np.abs(q), axis=1) if q.shape[1] else np.zeros(len(q), int)
     along = np.take_along_axis(q, focus[:, None], axis=1)[:, 0] / np.maximum(size, 1e-300) if q.shape[1] else np.zeros(len(q))
@@ -91,6 +103,6 @@ def kernel(ids, vectors, query_ids, queries, k):
 
 def top_k(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (long) of each query's k highest; `is_query` is a condition on vec_id."""
-    v = F.col(vector_col)
-    vectors = table.where(usable(v)).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
+    v = components(table, vector_col)
+    vectors = table.where(usable(v)).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     return search(vectors, is_query, kernel, k, "long")

@@ -1,25 +1,28 @@
 """Searching all vectors for a stated query set, shard by shard.
 
-Vectors are dealt by hash into shards of bounded size, queries into blocks of bounded size; each pair of a shard and
-a block is one task's work and gives each query its best few in that shard, which are then merged. Nothing is
-collected or broadcast, and a hot vector spreads over the shards by its id.
+Vectors are dealt by hash into shards of bounded size, and every shard is asked every query. A task reads a shard's
+vectors once, makes what its kernel needs of them, and then answers the queries in blocks as they stream by, so its
+memory is bounded by a shard and a block, whatever the number of queries. Each query's best few in each shard are then
+merged. Nothing is collected or broadcast, and a hot vector spreads over the shards by its id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 QUERY_ROWS = 2048
 NO_ID = np.iinfo(np.int64).max
 
-#: kernel(ids, vectors, query_ids, queries, k) -> (scores, ids), each of a row for each query and k columns
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+#: search(query_ids, queries, k) -> (scores, ids), each of a row for each query and k columns
+Search = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+#: kernel(ids, vectors) -> the search of that shard
+Kernel = Callable[[np.ndarray, np.ndarray], Search]
 
 
 class Best:
@@ -58,9 +61,23 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False))
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = [np.asarray(chunk.flatten(), np.float64) for chunk in column.chunks]
-    return np.concatenate(flat).reshape(len(column), dim)
+def components(table: DataFrame, vector_col: str) -> Column:
+    """The vector column as it is if it holds floats or doubles, else cast; floats take half the room in a shuffle."""
+    kind = dict(table.dtypes)[vector_col]
+    return F.col(vector_col) if kind in ("array<float>", "array<double>") else F.col(vector_col).cast("array<double>")
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), dim)
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a sorted batch that agree in dim, shard and kind."""
+    keys = np.stack([np.asarray(batch[c]) for c in ("dim", "shard", "kind")])
+    cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), len(batch)]
+    for a, z in zip(cuts, cuts[1:]):
+        if z > a:
+            yield batch.slice(a, z - a)
 
 
 def search(
@@ -78,27 +95,38 @@ def search(
     least vector asks.
     """
     vectors = vectors.where(F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
-    n, m = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // query_rows))
-    dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    parts = vectors.select("vec_id", "v", "dim", dealt(1, shards).alias("shard"), every(blocks).alias("block"))
+    shards = max(1, -(-vectors.count() // shard_rows))
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
     queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    queries = queries.select("vec_id", "v", "dim", dealt(2, blocks).alias("block"), every(shards).alias("shard"))
+    asked = queries.select("vec_id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"))
+    rows = vectors.select("vec_id", "v", "dim", shard.alias("shard"), F.lit(0).alias("kind")).unionByName(asked)
+    dealt = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
     score = np.float64 if score_type == "double" else np.int64
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows and right.num_rows:
-            dim = left["dim"][0].as_py()
-            q = np.asarray(right["vec_id"])
-            scores, ids = kernel(np.asarray(left["vec_id"]), _matrix(left["v"], dim), q, _matrix(right["v"], dim), k)
-            found = ids != NO_ID
-            q, ids, scores = np.broadcast_to(q[:, None], ids.shape)[found], ids[found], scores[found]
-        else:
-            q, ids, scores = (np.empty(0, np.int64),) * 2 + (np.empty(0),)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores.astype(score))})
-
-    keys = ("dim", "shard", "block")
-    found = parts.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(best, f"query_id long, vec_id long, score {score_type}")
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, parts, find = None, [], [], None
+        for batch in batches:
+            for run in _runs(batch):
+                dim, key = run["dim"][0].as_py(), (run["dim"][0].as_py(), run["shard"][0].as_py())
+                if key != at:
+                    at, ids, parts, find = key, [], [], None
+                if run["kind"][0].as_py() == 0:
+                    ids.append(np.asarray(run["vec_id"]))
+                    parts.append(_matrix(run["v"], dim))
+                    continue
+                if find is None and ids:
+                    find = kernel(np.concatenate(ids), np.concatenate(parts))
+                    ids, parts = [], []
+                for a in range(0, len(run) if find else 0, query_rows):
+                    some = run.slice(a, query_rows)
+                    q = np.asarray(some["vec_id"])
+                    scores, near = find(q, _matrix(some["v"], dim), k)
+                    found = near != NO_ID
+                    yield pa.RecordBatch.from_pydict({
+                        "query_id": pa.array(np.broadcast_to(q[:, None], near.shape)[found], pa.int64()),
+                        "vec_id": pa.array(near[found], pa.int64()), "score": pa.array(scores[found].astype(score)),
+                    })
+
+    found = dealt.mapInArrow(best, f"query_id long, vec_id long, score {score_type}")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
