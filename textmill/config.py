@@ -10,7 +10,7 @@ SPLITS = ("test", "validation", "train")
 
 @dataclass(frozen=True)
 class QualityPolicy:
-    """Thresholds of the quality flags, and what the flags mean for selection."""
+    """Thresholds of the quality flags, and what the flags mean for selection; fixed values."""
 
     short_words: int = 40
     short_bytes: int = 50

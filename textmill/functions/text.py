@@ -1,7 +1,8 @@
 """Text as column expressions: normal forms, words, lines, shingles, quality measures and flags.
 
-Everything is a built-in expression, so it stays in generated code; `normalize_exact` is the one Python function, for
-text whose compatibility forms or case folding the native form doesn't cover.
+Everything is a built-in expression, so it stays in generated code. The one Python function is the normal form of texts
+with characters whose compatibility forms, composition or case folding the built-in functions don't cover; other texts
+never reach it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ SECRETS = (
     r"\bAKIA[0-9A-Z]{16}\b",
     r"\bgh[pousr]_[A-Za-z0-9]{30,}\b",
 )
+#: White space of str.split and str.strip, the insides of a character class; and what ends a line in str.splitlines.
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 GENERATED = ("generated file", "auto-generated", "autogenerated", "do not edit", "machine generated")
 
 
@@ -35,6 +39,11 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Characters beyond these need the whole normal form: of these, NFKC and NFC change none, and folding only the sharp s.
+PLAIN = r"\x00-\x7f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\xff\u2013\u2014\u2018-\u201f\u20ac"
+PLAIN_CODE = r"\x00-\u02ff"
+
+
 def unix(text: Column) -> Column:
     """Line ends as line feeds."""
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -42,15 +51,7 @@ def unix(text: Column) -> Column:
 
 def collapsed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
-def normalized(text: Column, code: bool = False) -> Column:
-    """Code: line ends unified, lines right-trimmed, no blank lines at the ends. Prose: folded and collapsed."""
-    if not code:
-        return collapsed(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
-    trimmed = F.regexp_replace(unix(text), r"[ \t\x0b\f]+(?=\n|$)", "")
-    return F.regexp_replace(F.regexp_replace(trimmed, r"^\n+", ""), r"\n+$", "")
+    return F.trim(F.regexp_replace(text, f"[{WHITE}]+", " "))
 
 
 def _normalized(text: str, code: bool) -> str:
@@ -61,7 +62,7 @@ def _normalized(text: str, code: bool) -> str:
 
 
 def normalize_exact(text: Column, code: bool = False) -> Column:
-    """The normal form with full Unicode composition and case folding, by Arrow batches."""
+    """The normal form with Unicode composition and case folding, by Arrow batches."""
 
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
@@ -70,6 +71,18 @@ def normalize_exact(text: Column, code: bool = False) -> Column:
     return of(text)
 
 
+def normalized(text: Column, code: bool = False) -> Column:
+    """Code: line ends unified, NFC, lines right-trimmed, no blank lines at the ends. Prose: NFKC, folded, collapsed."""
+    if code:
+        blank = WHITE.replace(r"\t-\r", r"\t\x0b-\r")
+        trimmed = F.regexp_replace(unix(text), rf"[{blank}]+(?=\n|\z)", "")
+        native = F.regexp_replace(F.regexp_replace(trimmed, r"^\n+", ""), r"\n+\z", "")
+    else:
+        native = collapsed(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    odd = F.rlike(text, F.lit(f"[^{PLAIN_CODE if code else PLAIN}]"))
+    return F.when(odd, normalize_exact(F.when(odd, text), code)).otherwise(native)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -79,18 +92,18 @@ def word_count(text: Column) -> Column:
 
 
 def split_lines(text: Column) -> Column:
-    """Lines without the empty one after a final line feed."""
+    """Lines, without the empty one after a final line break."""
 
     def open_(lines: Column) -> Column:
         closed = (F.size(lines) > 1) & (F.element_at(lines, -1) == "")
         return F.when(closed, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
-    return bind(F.split(text, "\n"), open_)
+    return bind(F.split(text, BREAK), open_)
 
 
 def bare_lines(text: Column) -> Column:
     """Collapsed lines that aren't blank."""
-    return F.filter(F.transform(F.split(unix(text), "\n"), collapsed), lambda line: line != "")
+    return F.filter(F.transform(F.split(text, BREAK), collapsed), lambda line: line != "")
 
 
 def shingles(text: Column, width: int) -> Column:
@@ -121,25 +134,36 @@ def with_lines(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("__bare", F.filter(F.transform("__lines", collapsed), lambda line: line != ""))
 
 
+def rounded(n: Column, of: Column, digits: int) -> Column:
+    """n / of to some digits, half to even, computed in whole numbers."""
+    of, scaled = of.cast("long"), n.cast("long") * 10**digits
+    rest = scaled % of
+    low = F.floor((scaled - rest) / of)
+    up = (2 * rest > of) | ((2 * rest == of) & (low % 2 == 1))
+    return (low + up.cast("long")) / F.lit(10.0**digits)
+
+
 def measures(text: Column) -> dict[str, Column]:
-    """The quality measures, fractions unrounded, of rows that `with_lines` made."""
+    """The quality measures of rows that `with_lines` made."""
     lines, bare = F.col("__lines"), F.col("__bare")
     n, filled, chars = F.size(lines).cast("long"), F.size(bare).cast("long"), F.length(text).cast("long")
-    most = F.greatest(chars, F.lit(1))
+    one = F.lit(1)
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     code = F.size(F.filter(lines, lambda line: line.rlike(CODE_LINE)))
+    repeated = filled - F.size(F.array_distinct(bare))
     return {
         "characters": chars,
         "lines": n,
         "nonempty_lines": filled,
+        "repeated_lines": repeated,
         "words": word_count(text),
         "max_line_chars": F.array_max(F.transform(lines, F.length)).cast("long"),
-        "mean_line_chars": chars / F.greatest(n, F.lit(1)),
-        "repeated_line_fraction": F.when(filled > 0, 1 - F.size(F.array_distinct(bare)) / filled).otherwise(F.lit(0.0)),
-        "whitespace_fraction": count(r"\s") / most,
-        "alphanumeric_fraction": count(r"[\p{L}\p{N}]") / most,
+        "mean_line_chars": rounded(chars, F.greatest(n, one), 3),
+        "repeated_line_fraction": rounded(repeated, F.greatest(filled, one), 6),
+        "whitespace_fraction": rounded(count(f"[{WHITE}]"), F.greatest(chars, one), 6),
+        "alphanumeric_fraction": rounded(count(r"[\p{L}\p{N}]"), F.greatest(chars, one), 6),
         "url_count": count(URL),
-        "code_line_fraction": code / F.greatest(n, F.lit(1)),
+        "code_line_fraction": rounded(code, F.greatest(n, one), 6),
     }
 
 
@@ -153,7 +177,7 @@ def flags(text: Column, m: dict[str, Column], policy: QualityPolicy, code: bool
         "null_character": F.contains(text, F.lit("\0")),
         "replacement_character": F.contains(text, F.lit("�")),
         "very_long_line": m["max_line_chars"] > policy.long_line,
-        "high_line_repetition": (m["repeated_line_fraction"] > policy.repeated_lines) & (m["nonempty_lines"] >= policy.repeated_lines_from),
+        "high_line_repetition": (m["repeated_lines"] / F.greatest(m["nonempty_lines"], F.lit(1)) > policy.repeated_lines) & (m["nonempty_lines"] >= policy.repeated_lines_from),
         "high_url_density": (m["words"] > 0) & (m["url_count"] / F.greatest(m["words"], F.lit(1)) > policy.url_density),
         "possible_generated": F.rlike(head, F.lit("|".join(GENERATED))),
         "possible_secret": F.rlike(secret, F.lit("|".join(SECRETS))),
