@@ -1,4 +1,7 @@
+import re
 import struct
+import unicodedata
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -8,6 +11,8 @@ from pyspark.sql import functions as F
 from textmill.config import LSH, LshConfig, LshTable
 from textmill.functions import text as tx
 from textmill.operators import neardup
+from textmill.plans import neardup as plans
+from textmill.sources import tables
 
 BASE = [f"word{i}" for i in range(160)]
 
@@ -37,8 +42,9 @@ def test_bands_cover_all_tables():
 def test_clusters(spark):
     docs = corpus(spark).cache()
     reps = docs.join(neardup.star_edges(docs).where("ordinal = root").select("ordinal"), "ordinal", "left_semi")
-    sets = neardup.shingle_sets(reps, LSH)
-    keyed = reps.select("ordinal", neardup.bands(tx.words(tx.normalized(F.col("text"))), LSH).alias("bands")).join(sets.select("ordinal", "n"), "ordinal")
+    found = reps.select("ordinal", neardup.shingled(tx.words(tx.normalized(F.col("text"))), LSH).alias("s"))
+    found = found.select("ordinal", F.size("s.set").alias("n"), "s.set", "s.bands").cache()
+    sets, keyed = found.select("ordinal", "n", "set"), found.select("ordinal", "n", "bands")
     refined = neardup.refine(neardup.candidates(keyed, LSH), sets, LSH)
     by_prefix = neardup.shared_shingle_pairs(sets, LSH).where("accepted")
     accepted = refined.where("accepted")
@@ -54,6 +60,44 @@ def test_bounds_are_errors(spark):
     assert neardup.candidates(keyed, LSH).count() == 6
     with pytest.raises(ValueError):
         neardup.candidates(keyed, LshConfig(max_posting=3))
+    # six unique pairs, met in two bands each
+    keyed = spark.createDataFrame([(i, 10, ["k", "l"]) for i in range(4)], "ordinal long, n int, bands array<string>")
+    assert neardup.candidates(keyed, LshConfig(max_pairs=6)).count() == 6
+    with pytest.raises(ValueError):
+        neardup.candidates(keyed, LshConfig(max_pairs=5))
+
+
+def test_queries_without_sql_agree_with_brute_force(spark, sf):
+    """Bands, sketches and candidate pairs against plain loops over every document."""
+    docs = {r.id: r.text for r in tables.documents(spark, sf).collect()}
+    words = {i: re.findall(r"[\w']+", " ".join(unicodedata.normalize("NFKC", t).casefold().split())) for i, t in docs.items()}
+    cut = lambda w: [" ".join(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else w
+    sketches = {}
+    for i, w in words.items():
+        found = cut(w)
+        found = [found[k * len(found) // 2048] for k in range(2048)] if len(found) > 2048 else found
+        sketches[i] = ",".join(sorted({f"{xxhash.xxh3_64_intdigest(s):016x}" for s in found})[:16])
+    assert {r.id: r.sketch for r in plans.QUERIES["bottom_k_sketch"](spark, sf).collect()} == sketches
+
+    order = {r.id: r.ordinal for r in plans.numbered(spark, sf).select("id", "ordinal").collect()}
+    first = {}
+    for i in sorted(words, key=order.get):
+        first.setdefault(" ".join(unicodedata.normalize("NFKC", docs[i]).casefold().split()), order[i])
+    kept = {order[i]: cut(w) for i, w in words.items() if order[i] in first.values()}
+    bands = {o: neardup.band_keys([s.encode() for s in w], LSH) for o, w in kept.items()}
+    got = {}
+    for r in plans.QUERIES["near_bands"](spark, sf).collect():
+        got.setdefault(r.ordinal, {})[r.band] = r.key
+    assert got == {o: dict(enumerate(keys)) for o, keys in bands.items()}
+
+    pairs = {}
+    for a, b in combinations(sorted(kept), 2):
+        x, y = set(kept[a]), set(kept[b])
+        if set(bands[a]) & set(bands[b]) and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)):
+            pairs[a, b] = (len(x & y), len(x | y), not (x | y) or 5 * len(x & y) >= 4 * len(x | y))
+    assert {(r.a, r.b) for r in plans.QUERIES["length_ratio_candidates"](spark, sf).collect()} == set(pairs)
+    assert {(r.a, r.b): (r.inter, r.union, r.accepted) for r in plans.QUERIES["near_candidates_lsh"](spark, sf).collect()} == pairs
+    assert pairs and any(p[2] for p in pairs.values())
 
 
 def test_sizes_that_fit(spark):

@@ -12,8 +12,8 @@ STRONG = 32
 PAIR = 40
 #: Digests of a denylist are rows of 80 bytes; up to so many are broadcast, more are joined by shuffle.
 BROADCAST_DIGESTS = 500_000
+# What names a function, what a document must hold, and the reasons given.
 FUNCTION = r"(?m)^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\("
-# What a document must hold, and the reasons given.
 MARKER = r"mostly basic python problems|\bmbpp\b"
 JSON_KEYS = ('"task_id"', '"test_list"', '"challenge_test_list"')
 REASONS = ("mbpp-marker", "mbpp-json-shape", "mbpp-exact-code", "mbpp-problem-or-test", "mbpp-embedded-code")

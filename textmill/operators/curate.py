@@ -5,11 +5,11 @@ Reasons are (id, reason) rows; a document without any is eligible. The tables he
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.config import QualityPolicy, SplitPolicy
-from textmill.functions.identity import split_of
+from textmill.functions.identity import named_digest, split_of
 from textmill.functions.prefix import running
 
 # Reasons.
@@ -18,6 +18,10 @@ EXACT = "residual_exact_duplicate"
 NEAR = "english_near_duplicate"
 NORMALIZED = "residual_normalized_duplicate"
 OVERFLOW = "quota_overflow"
+MISSING_REPO = "missing_code_repo_id"
+MISSING_ENGLISH = "missing_english_source_identity"
+# Fixed value: namespace of the clusters that the near-duplicate map names.
+NEAR_CLUSTER = "english-near-cluster"
 
 
 def quality_reasons(fp: DataFrame, policy: QualityPolicy) -> DataFrame:
@@ -25,6 +29,24 @@ def quality_reasons(fp: DataFrame, policy: QualityPolicy) -> DataFrame:
     return fp.select("id", F.explode(F.array_intersect("flags", hard)).alias("flag")).select("id", F.concat(F.lit("quality:"), "flag").alias("reason"))
 
 
+def first_named(*parts: Column) -> Column:
+    """The first of the parts that isn't blank, without white space at its ends; null if all are."""
+    bare = (F.regexp_replace(p.cast("string"), r"^\s+|\s+$", "") for p in parts)
+    return F.coalesce(*(F.when(b != "", b) for b in bare))
+
+
+def missing_identity(rows: DataFrame) -> DataFrame:
+    """Reasons of documents without a source identity; `rows` has id, code and identity."""
+    word = F.when(F.col("code"), MISSING_REPO).otherwise(MISSING_ENGLISH)
+    return rows.where("identity is null").select("id", word.alias("reason"))
+
+
+def source_groups(rows: DataFrame) -> DataFrame:
+    """`rows` (id, code, identity) with source_group, the digest of the identity in its namespace; null without one."""
+    group = F.when(F.col("code"), named_digest("code-repository", F.col("identity"))).otherwise(named_digest("english-source", F.col("identity")))
+    return rows.withColumn("source_group", group)
+
+
 def first_reasons(fp: DataFrame, guard: DataFrame, policy: QualityPolicy) -> DataFrame:
     """Quality and benchmark reasons."""
     benchmark = guard.select("id", F.concat(F.lit("benchmark:"), "reason").alias("reason"))
@@ -42,6 +64,16 @@ def reason_free(fp: DataFrame, reasons: DataFrame) -> DataFrame:
     return fp.join(reasons.select("id").distinct(), "id", "left_anti")
 
 
+def near_mapped(fp: DataFrame, near_map: DataFrame) -> DataFrame:
+    """Fingerprints with their near-duplicate cluster as final_cluster; `near_map` has id and cluster_id.
+
+    A document that the map doesn't know keeps its provisional cluster; `dq.coverage` tells whether there are any.
+    """
+    named = near_map.select("id", named_digest(NEAR_CLUSTER, F.col("cluster_id")).alias("near"))
+    rest = [c for c in fp.columns if c != "final_cluster"]
+    return fp.join(named, "id", "left").select(*rest, F.coalesce("near", "final_cluster").alias("final_cluster"))
+
+
 def exact_choice(clean: DataFrame) -> DataFrame:
     """Of each content hash, the document of least (penalty, key)."""
     least = F.min(F.struct("penalty", "key", "id", "final_cluster")).alias("c")
@@ -108,6 +140,24 @@ def quota_prefix(candidates: DataFrame, quotas: DataFrame, fail_short: bool = Tr
     return kept.select("id", "split", "category", F.least(F.col("words"), F.col("target") - F.col("before")).alias("selected_tokens"))
 
 
+def quota_proof(candidates: DataFrame, quotas: DataFrame, selected: DataFrame) -> DataFrame:
+    """For each cell: target, selected tokens and documents, documents cut short, whether the selected ones come before
+    all others by (selection_rank, key), and whether only the last is cut. Aggregates alone, so no cell is one task."""
+    place = F.struct("selection_rank", "key")
+    taken = selected.select("id", "selected_tokens")
+    rows = candidates.select("id", "split", "category", "selection_rank", "key", "words").join(taken, "id", "left")
+    in_, short = F.col("selected_tokens").isNotNull(), F.col("selected_tokens") < F.col("words")
+    cells = rows.groupBy("split", "category").agg(
+        F.coalesce(F.sum("selected_tokens"), F.lit(0)).alias("tokens"), F.count("selected_tokens").alias("documents"), F.count(F.when(short, 1)).alias("cut_documents"),
+        F.max(F.when(in_, place)).alias("last"), F.min(F.when(~in_, place)).alias("next"), F.max(F.when(short, place)).alias("cut"),
+    )
+    true = F.lit(True)
+    return quotas.join(cells, ["split", "category"]).select(
+        "split", "category", "target", "tokens", "documents", "cut_documents",
+        F.coalesce(F.col("last") < F.col("next"), true).alias("prefix"), F.coalesce(F.col("last") == F.col("cut"), true).alias("cut_last"),
+    )
+
+
 def decisions(fp: DataFrame, reasons: DataFrame, mapped: DataFrame, splits: DataFrame, selected: DataFrame) -> DataFrame:
     """keep or reject for every document, with its canonical document, split, tokens and sorted reasons."""
     listed = reasons.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.config import LshConfig, LshTable
-from textmill.functions import text as tx
 from textmill.functions.graph import components
+from textmill.storage import cut
 
 PREFIX = "english-near-v1-"
 
@@ -67,6 +67,24 @@ def bands(words: Column, config: LshConfig) -> Column:
     return of(words)
 
 
+def shingled(words: Column, config: LshConfig) -> Column:
+    """Struct set (distinct shingle digests, array<long>, ascending) and bands of a column of words, in one pass."""
+
+    @F.arrow_udf("set array<long>, bands array<string>")
+    def of(rows: pa.Array) -> pa.Array:
+        sets, keys = [], []
+        for r in rows:
+            found = [s.encode() for s in windows(r.as_py(), config.width)]
+            digests = np.fromiter((xxhash.xxh64_intdigest(s, config.shingle_seed) for s in found), np.uint64, len(found))
+            sets.append(np.unique(digests.view(np.int64)))
+            keys.append(band_keys(found, config))
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(keys, pa.list_(pa.string()))], names=["set", "bands"])
+
+    return of(words)
+
+
 def sketch(words: Column, width: int, most: int = 2048, k: int = 16) -> Column:
     """The k least distinct XXH3 digests, as hex, of up to `most` evenly chosen windows of words."""
 
@@ -92,12 +110,6 @@ def star_edges(docs: DataFrame) -> DataFrame:
     return docs.select("ordinal", "normalized_hash").join(least, "normalized_hash").select("ordinal", "root", "members")
 
 
-def shingle_sets(docs: DataFrame, config: LshConfig) -> DataFrame:
-    """(ordinal, set, n): distinct shingle digests of each document."""
-    hashed = F.array_sort(F.array_distinct(F.transform(tx.shingles(F.col("text"), config.width), lambda s: F.xxhash64(s))))
-    return docs.select("ordinal", hashed.alias("set")).withColumn("n", F.size("set"))
-
-
 def fits(a: Column, b: Column, config: LshConfig) -> Column:
     """Whether sets of these sizes can reach the threshold."""
     return F.least(a, b).cast("long") * config.jaccard.denominator >= F.greatest(a, b).cast("long") * config.jaccard.numerator
@@ -111,12 +123,20 @@ def candidates(keyed: DataFrame, config: LshConfig) -> DataFrame:
     postings = keyed.select("ordinal", "n", F.posexplode("bands").alias("band", "key"))
     sizes = postings.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     top = sizes.agg(F.max("m").alias("m"), F.sum(F.expr("m * (m - 1) / 2")).alias("pairs")).first()
-    if top.m and (top.m > config.max_posting or top.pairs > config.max_pairs * len(config.tables) * config.tables[0].bands):
-        raise ValueError(f"a posting of {top.m} documents, or {top.pairs} pairs, is beyond the bounds")
+    # every unique pair is met once at least, and in every band at most: only beyond that has it to be counted
+    most = len(config.tables) * config.tables[0].bands
+    if top.m and (top.m > config.max_posting or top.pairs > config.max_pairs * most):
+        raise ValueError(f"a posting of {top.m} documents, or over {(top.pairs or 0) // most} pairs, is beyond the bounds")
     shared = postings.join(sizes.select("band", "key"), ["band", "key"], "left_semi")
     a = shared.select("band", "key", F.col("ordinal").alias("a"), F.col("n").alias("an"))
     b = shared.select("band", "key", F.col("ordinal").alias("b"), F.col("n").alias("bn"))
-    return a.join(b, ["band", "key"]).where((F.col("a") < F.col("b")) & fits(F.col("an"), F.col("bn"), config)).select("a", "b").distinct()
+    pairs = a.join(b, ["band", "key"]).where((F.col("a") < F.col("b")) & fits(F.col("an"), F.col("bn"), config)).select("a", "b").distinct()
+    if not top.pairs or top.pairs <= config.max_pairs:
+        return pairs
+    pairs = cut(pairs)
+    if (unique := pairs.count()) > config.max_pairs:
+        raise ValueError(f"{unique} pairs are beyond the bound of {config.max_pairs}")
+    return pairs
 
 
 def refine(pairs: DataFrame, sets: DataFrame, config: LshConfig) -> DataFrame:

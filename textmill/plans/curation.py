@@ -9,7 +9,7 @@ from textmill.config import QUALITY, SPLIT
 from textmill.functions import text as tx
 from textmill.functions.identity import split_of
 from textmill.operators import benchmark, curate, dq, publish, quality
-from textmill.plans import oracle
+from textmill.plans import neardup, oracle
 from textmill.plans.registry import Registry
 from textmill.sources import tables
 from textmill.storage import cut, read
@@ -29,9 +29,19 @@ class Curation:
             self._made[name] = make()
         return self._made[name]
 
+    @property
+    def provisional(self) -> DataFrame:
+        """Fingerprints whose final_cluster is that of the normalized text."""
+        return self._once("provisional", lambda: tables.fingerprints(self.spark, self.sf_dir))
+
+    @property
+    def near_map(self) -> DataFrame:
+        return self._once("near_map", lambda: cut(neardup.near_map(self.spark, self.sf_dir)))
+
     @property
     def fp(self) -> DataFrame:
-        return self._once("fp", lambda: tables.stored(self.spark, self.sf_dir))
+        """Fingerprints with near duplicates in one final cluster, on which all choices, splits and audits rest."""
+        return self._once("fp", lambda: cut(curate.near_mapped(self.provisional, self.near_map)))
 
     @property
     def deny(self) -> DataFrame:
@@ -230,7 +240,11 @@ def residual_reasons(spark, sf):
     return curate.residual(c.clean, c.exact, c.final)
 
 
-@query("SELECT unnest(['eligible_share_content', 'eligible_share_cluster', 'eligible_not_canonical', 'canonical_not_eligible', 'mapped_to_rejected']) AS \"check\", 0::BIGINT AS violations")
+@query("""SELECT 'eligible_share_content' AS "check", count(*) AS violations FROM (SELECT content_hash FROM eligible GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'eligible_share_cluster', count(*) FROM (SELECT final_cluster FROM eligible GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'eligible_not_canonical', count(*) FROM eligible WHERE id NOT IN (SELECT id FROM mapped WHERE id = canonical_id)
+    UNION ALL SELECT 'canonical_not_eligible', count(*) FROM mapped WHERE id = canonical_id AND id NOT IN (SELECT id FROM eligible)
+    UNION ALL SELECT 'mapped_to_rejected', count(DISTINCT canonical_id) FROM mapped WHERE canonical_id NOT IN (SELECT id FROM eligible)""")
 def canonical_self_check(spark, sf):
     c = Curation(spark, sf)
     return curate.self_check(c.fp, c.reasons, cut(c.mapped))
@@ -256,15 +270,15 @@ def quota_prefix(spark, sf):
     return Curation(spark, sf).selected
 
 
-@query("SELECT 'only_left' AS side, 0::BIGINT AS rows UNION ALL SELECT 'only_right', 0")
+@query("""SELECT r.split, r.category, any_value(q.target)::BIGINT AS target, coalesce(sum(s.selected_tokens), 0)::BIGINT AS tokens, count(s.id) AS documents,
+    count(*) FILTER (WHERE s.selected_tokens < r.words) AS cut_documents,
+    coalesce(max(CASE WHEN s.id IS NOT NULL THEN r.selection_rank || r.key END) < min(CASE WHEN s.id IS NULL THEN r.selection_rank || r.key END), true) AS prefix,
+    coalesce(max(CASE WHEN s.id IS NOT NULL THEN r.selection_rank || r.key END) = max(CASE WHEN s.selected_tokens < r.words THEN r.selection_rank || r.key END), true) AS cut_last
+    FROM ranked r JOIN quotas q ON q.split = r.split AND q.category = r.category LEFT JOIN selected s ON s.id = r.id GROUP BY r.split, r.category""")
 def quota_proof(spark, sf):
-    """The selection against an independent window over each cell."""
-    from pyspark.sql import Window
-
+    """What makes a selection right, cell by cell: it fills the target, is a prefix by rank, and cuts its last document alone."""
     c = Curation(spark, sf)
-    before = Window.partitionBy("split", "category").orderBy("selection_rank", "key").rowsBetween(Window.unboundedPreceding, -1)
-    plain = c.eligible.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(c.quotas, ["split", "category"]).where("before < target")
-    return dq.differences(c.selected, plain.select("id", "split", "category", F.least("words", F.col("target") - F.col("before")).alias("selected_tokens")))
+    return curate.quota_proof(c.eligible, c.quotas, c.selected)
 
 
 _DECISIONS = """SELECT f.id, f.bucket, f.archive, CASE WHEN s.id IS NOT NULL THEN 'keep' ELSE 'reject' END AS decision, m.canonical_id, e.split,
@@ -279,7 +293,9 @@ def decisions(spark, sf):
     return curate.decisions(c.fp, c.reasons, c.mapped, c.eligible, c.selected)
 
 
-@query("SELECT unnest(['keep_has_reason', 'keep_without_split', 'reject_has_tokens', 'reject_without_reason']) AS rule, 0::BIGINT AS violations")
+@query(f"""SELECT unnest(['keep_has_reason', 'keep_without_split', 'reject_has_tokens', 'reject_without_reason']) AS rule, unnest([
+    count(*) FILTER (WHERE decision = 'keep' AND reasons <> ''), count(*) FILTER (WHERE decision = 'keep' AND (split IS NULL OR selected_tokens <= 0)),
+    count(*) FILTER (WHERE decision <> 'keep' AND selected_tokens <> 0), count(*) FILTER (WHERE decision <> 'keep' AND reasons = '')]) AS violations FROM ({_DECISIONS})""")
 def decision_violations(spark, sf):
     d = decisions(spark, sf)
     keep = F.col("decision") == "keep"
@@ -296,8 +312,8 @@ def eligible_supply(spark, sf):
     return publish.supply(Curation(spark, sf).eligible)
 
 
-@query("""SELECT split, bucket, count(*) AS documents, sum(words)::BIGINT AS tokens, grouping(split, bucket)::INTEGER AS level
-    FROM eligible GROUP BY GROUPING SETS ((split), (bucket), (split, bucket), ())""")
+@query("""SELECT split, category, bucket, count(*) AS documents, sum(words)::BIGINT AS tokens, grouping(split, category, bucket)::INTEGER AS level
+    FROM eligible GROUP BY GROUPING SETS ((split), (category), (bucket), (split, category), (split, bucket), ())""")
 def supply_grouping_sets(spark, sf):
     return publish.grouping_sets(Curation(spark, sf).eligible)
 
@@ -405,12 +421,17 @@ def coverage_full_outer(spark, sf):
     return a.join(b, "bucket", "full").na.fill(0).withColumn("coverage", F.col("audited") / F.col("finalized"))
 
 
-@query("SELECT 'only_left' AS side, 0::BIGINT AS rows UNION ALL SELECT 'only_right', 0")
+@query("""SELECT * FROM (WITH once AS (SELECT content_hash, min(id) AS first_id, count(*) AS documents, sum(words)::BIGINT AS tokens FROM fp GROUP BY 1),
+    merged AS (SELECT content_hash, min(first_id) AS first_id, sum(documents)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM (
+        SELECT archive, content_hash, min(id) AS first_id, count(*) AS documents, sum(words) AS tokens FROM fp GROUP BY 1, 2)
+        WHERE archive <> 'src3' GROUP BY 1)
+    SELECT 'only_left' AS side, count(*) AS rows FROM (SELECT * FROM once EXCEPT ALL SELECT * FROM merged)
+    UNION ALL SELECT 'only_right', count(*) FROM (SELECT * FROM merged EXCEPT ALL SELECT * FROM once))""")
 def table_equality(spark, sf):
-    """Counters computed in two steps, partial by archive and merged, against those computed at once."""
+    """Counters merged from partial ones by archive, of which that of src3 is missing, against those computed at once."""
     fp = tables.stored(spark, sf)
     parts = fp.groupBy("archive", "content_hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("documents"), F.sum("words").alias("tokens"))
-    merged = parts.groupBy("content_hash").agg(F.min("first_id").alias("first_id"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    merged = parts.where("archive != 'src3'").groupBy("content_hash").agg(F.min("first_id").alias("first_id"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
     return dq.differences(quality.clusters(fp, "content_hash"), merged)
 
 
@@ -419,19 +440,58 @@ def keyset_page(spark, sf):
     return dq.keyset_page(tables.documents(spark, sf).select("id", "archive"), "id", 100, 50)
 
 
-@query("""SELECT f.id, coalesce(m.top, f.final_cluster) AS final_cluster FROM fp f LEFT JOIN (SELECT content_hash, min(key) AS top FROM fp GROUP BY 1 HAVING count(*) > 1) m ON m.content_hash = f.content_hash""")
+@query("SELECT id, final_cluster FROM mappedfp")
 def near_map_applied(spark, sf):
-    """A cluster map, here of exact copies, laid over the provisional clusters."""
-    fp = tables.stored(spark, sf)
-    mapped = fp.groupBy("content_hash").agg(F.min("key").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("content_hash", "top")
-    return fp.join(mapped, "content_hash", "left").select("id", F.coalesce("top", "final_cluster").alias("final_cluster"))
+    """The near-duplicate map laid over the provisional clusters."""
+    return Curation(spark, sf).fp.select("id", "final_cluster")
+
+
+@query("""SELECT 'missing' AS state, count(*) AS documents FROM fp WHERE bucket = 'fr'
+    UNION ALL SELECT 'unexpected', count(*) FROM fp WHERE bucket = 'de'
+    UNION ALL SELECT 'orphan_reason', count(*) FROM reasons WHERE id IN (SELECT id FROM fp WHERE bucket = 'es')
+    UNION ALL SELECT 'empty_group', count(DISTINCT source_group) FROM fp WHERE source_group NOT IN (SELECT source_group FROM eligible)""")
+def referential_audit(spark, sf):
+    """What hangs loose between tables, here with planted faults: a map without French documents and with unknown German
+    ones, reasons against a table without Spanish documents, and groups of which no document is eligible."""
+    c = Curation(spark, sf)
+    ids = c.fp.select(F.when(F.col("bucket") == "de", -1 - F.col("id")).otherwise(F.col("id")).alias("id"), "bucket").where("bucket != 'fr'")
+    covered = dq.coverage(c.fp.where("bucket != 'de'"), ids, "id").groupBy("state").agg(F.count(F.lit(1)).alias("documents"))
+    loose = dq.orphans(c.reasons, c.fp.where("bucket != 'es'"), "id").agg(F.lit("orphan_reason").alias("state"), F.count(F.lit(1)).alias("documents"))
+    empty = dq.orphans(c.fp.select("source_group").distinct(), c.eligible, "source_group").agg(F.lit("empty_group").alias("state"), F.count(F.lit(1)).alias("documents"))
+    return covered.unionByName(loose).unionByName(empty)
+
+
+_IDENTITY = """SELECT page_id AS id, page_id % 3 = 0 AS code, CASE WHEN page_id % 3 = 0 THEN nullif(trim(CASE WHEN page_id % 5 = 0 THEN '  ' ELSE host END), '')
+    ELSE coalesce(nullif(trim(CASE WHEN page_id % 2 = 0 THEN url ELSE ' ' END), ''), nullif(trim(CASE WHEN page_id % 7 = 0 THEN '' ELSE page_id::VARCHAR END), '')) END AS identity
+    FROM (SELECT page_id, url, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages)"""
+
+
+def identities(spark, sf) -> DataFrame:
+    """Pages as code files, known by their host, and as articles, known by url or else id; some lack what names them."""
+    i, host = F.col("page_id"), F.regexp_extract("url", "://([^/]*)", 1)
+    code = curate.first_named(F.when(i % 5 == 0, "  ").otherwise(host))
+    article = curate.first_named(F.when(i % 2 == 0, F.col("url")).otherwise(" "), F.when(i % 7 == 0, "").otherwise(i.cast("string")))
+    return read(spark, sf, "pages").select(i.alias("id"), (i % 3 == 0).alias("code"), F.when(i % 3 == 0, code).otherwise(article).alias("identity"))
+
+
+@query(f"""SELECT id, code, identity, sha256(CASE WHEN code THEN 'code-repository' ELSE 'english-source' END || chr(0) || identity) AS source_group FROM ({_IDENTITY})""")
+def source_identity(spark, sf):
+    return curate.source_groups(identities(spark, sf))
+
+
+@query(f"SELECT id, CASE WHEN code THEN '{curate.MISSING_REPO}' ELSE '{curate.MISSING_ENGLISH}' END AS reason FROM ({_IDENTITY}) WHERE identity IS NULL")
+def missing_identity(spark, sf):
+    return curate.missing_identity(identities(spark, sf))
 
 
-@query("SELECT count(*) AS documents, 0::BIGINT AS group_mismatches, 0::BIGINT AS split_mismatches FROM eligible")
+@query(f"""SELECT count(*) AS documents, count(*) FILTER (WHERE g <> source_group) AS group_mismatches, count(*) FILTER (WHERE {oracle.split_of('g')} <> split) AS split_mismatches
+    FROM (SELECT e.source_group, e.split, sha256('english-source' || chr(0) || d.source || '/' || ((d.doc_id + CASE WHEN d.doc_id % 50 = 0 THEN 10 ELSE 0 END) // 10)::VARCHAR) AS g
+        FROM eligible e JOIN documents d ON d.doc_id = e.id)""")
 def provenance_rederived(spark, sf):
-    """Groups and splits derived again from the source rows, against those that curation stored."""
+    """Groups and splits derived again from the source rows, some of which have moved on, against those that curation stored."""
     c = Curation(spark, sf)
-    again = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.concat(F.lit("english-source\0"), "source", F.lit("/"), F.expr("doc_id div 10").cast("string")), 256).alias("g"))
+    moved = F.expr("(doc_id + if(doc_id % 50 = 0, 10, 0)) div 10").cast("string")
+    again = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.concat(F.lit("english-source\0"), "source", F.lit("/"), moved), 256).alias("g"))
     rows = c.eligible.join(again, "id")
     wrong = lambda x: F.sum(F.when(x, 1).otherwise(0))
     return rows.agg(F.count(F.lit(1)).alias("documents"), wrong(F.col("g") != F.col("source_group")).alias("group_mismatches"), wrong(split_of(F.col("g"), SPLIT) != F.col("split")).alias("split_mismatches"))

@@ -21,10 +21,12 @@ Z = NormalDist().inv_cdf(0.95)
 
 
 def numbered(spark, sf) -> DataFrame:
-    """ordinal, id, archive, normalized_hash and text of every document, in archive order."""
-    docs = tables.documents(spark, sf).withColumn("normalized_hash", sha(tx.normalized(F.col("text"))))
-    places = tables.ordinal(docs.select("id", "archive"), ["archive", "id"])
-    return cut(docs.select("id", "archive", "normalized_hash", "text").join(places.select("id", "ordinal"), "id"))
+    """ordinal, id, key, archive, normalized_hash, n, set and bands of every document, in archive order; no texts."""
+    docs = tables.documents(spark, sf).withColumn("normal", tx.normalized(F.col("text")))
+    found = neardup.shingled(tx.words(F.col("normal")), LSH)
+    rows = cut(docs.select("id", "key", "archive", sha(F.col("normal")).alias("normalized_hash"), found.alias("s")))
+    places = tables.ordinal(rows.select("id", "archive"), ["archive", "id"]).select("id", "ordinal")
+    return rows.join(places, "id").select("ordinal", "id", "key", "archive", "normalized_hash", F.size("s.set").alias("n"), "s.set", "s.bands")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -33,13 +35,12 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    return cut(neardup.shingle_sets(representatives(docs), LSH))
+    return representatives(docs).select("ordinal", "n", "set")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """ordinal, n and band keys of the representatives."""
-    rows = representatives(docs).select("ordinal", neardup.bands(tx.words(tx.normalized(F.col("text"))), LSH).alias("bands"))
-    return cut(rows.join(sets_of(docs).select("ordinal", "n"), "ordinal"))
+    return representatives(docs).select("ordinal", "n", "bands")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -47,6 +48,14 @@ def accepted(docs: DataFrame) -> DataFrame:
     return neardup.refine(pairs, sets_of(docs), LSH).where("accepted")
 
 
+def near_map(spark, sf) -> DataFrame:
+    """(id, cluster_id) of every document."""
+    docs = cut(numbered(spark, sf))
+    clustered = neardup.clusters(docs, accepted(docs))
+    roots = docs.select(F.col("ordinal").alias("root"), F.concat(F.lit(neardup.PREFIX), "key").alias("cluster_id"))
+    return clustered.join(docs.select("ordinal", "id"), "ordinal").join(roots, "root").select("id", "cluster_id")
+
+
 @query("SELECT ordinal, n FROM sizes")
 def shingle_counts(spark, sf):
     return sets_of(numbered(spark, sf)).select("ordinal", F.col("n").cast("long").alias("n"))
@@ -70,13 +79,10 @@ def paired_documents(spark, sf):
     return neardup.paired_documents(neardup.shared_shingle_pairs(sets_of(docs), LSH).where("accepted"), docs)
 
 
-@query(f"""SELECT a.ordinal AS a, b.ordinal AS b FROM sizes a JOIN sizes b ON a.ordinal < b.ordinal AND a.ordinal // 8 = b.ordinal // 8
-    WHERE least(a.n, b.n) * {LSH.jaccard.denominator} >= greatest(a.n, b.n) * {LSH.jaccard.numerator}""")
+@query()
 def length_ratio_candidates(spark, sf):
-    """Pairs of neighbours in the inventory that their sizes allow."""
-    sets = sets_of(numbered(spark, sf)).select("ordinal", "n", F.floor(F.col("ordinal") / 8).alias("block"))
-    a, b = (sets.select("block", F.col("ordinal").alias(x), F.col("n").alias(f"{x}n")) for x in "ab")
-    return a.join(b, "block").where((F.col("a") < F.col("b")) & neardup.fits(F.col("an"), F.col("bn"), LSH)).select("a", "b")
+    """Pairs over the whole table that share a band and that their sizes allow; the bands have no SQL form."""
+    return neardup.candidates(keyed(numbered(spark, sf)), LSH)
 
 
 @query("SELECT ordinal, root FROM clustered")
@@ -88,11 +94,7 @@ def near_components(spark, sf):
 @query("SELECT c.id, 'english-near-v1-' || r.key AS cluster_id FROM clustered c JOIN numbered r ON r.ordinal = c.root")
 def cluster_map(spark, sf):
     """Each document and its cluster's name, that of the root document."""
-    docs = numbered(spark, sf)
-    clustered = cut(neardup.clusters(docs, accepted(docs)))
-    keys = tables.documents(spark, sf).select("id", "key").join(docs.select("id", "ordinal"), "id").select(F.col("ordinal").alias("root"), "key")
-    ids = docs.select("ordinal", "id")
-    return clustered.join(ids, "ordinal").join(keys, "root").select("id", F.concat(F.lit(neardup.PREFIX), "key").alias("cluster_id"))
+    return near_map(spark, sf)
 
 
 @query("""SELECT count(*) AS clusters, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END)::BIGINT AS singletons, sum(CASE WHEN s > 1 THEN 1 ELSE 0 END)::BIGINT AS cross_archive,

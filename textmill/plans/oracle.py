@@ -32,16 +32,24 @@ def prompt_split(group: str) -> str:
     return f"CASE WHEN ('0x' || substr({digest}, 1, 16))::UBIGINT % 1000000 < {SFT.validation_per_million} THEN 'validation' ELSE 'train' END"
 
 
+def rounded(n: str, of: str, digits: int) -> str:
+    """n / of to some digits, half to even."""
+    scaled, of = f"(({n})::BIGINT * {10**digits})", f"greatest(({of})::BIGINT, 1)"
+    rest = f"({scaled} % {of})"
+    return f"({scaled} // {of} + CASE WHEN 2 * {rest} > {of} OR (2 * {rest} = {of} AND ({scaled} // {of}) % 2 = 1) THEN 1 ELSE 0 END) / {10**digits}.0::DOUBLE"
+
+
 def first_failing(tests: dict[str, str]) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {quoted(name)}" for name, c in tests.items()) + " END"
 
 
+ALNUM = r"[\p{L}\p{N}]"
 _WORD = quoted(tx.WORD)
 _HARD = ", ".join(map(quoted, QUALITY.hard))
 _SOFT = " + ".join(f"CASE WHEN list_contains(flags, '{f}') THEN {w} ELSE 0 END" for f, w in sorted(QUALITY.soft.items()))
 _FLAGS = {
     "empty": "text = ''",
-    "high_line_repetition": f"repeated_line_fraction > {QUALITY.repeated_lines} AND nonempty_lines >= {QUALITY.repeated_lines_from}",
+    "high_line_repetition": f"repeated_lines > {QUALITY.repeated_lines} * nonempty_lines AND nonempty_lines >= {QUALITY.repeated_lines_from}",
     "high_url_density": f"words > 0 AND url_count / words > {QUALITY.url_density}",
     "null_character": "contains(text, chr(0))",
     "possible_generated": f"regexp_matches(lower(left(text, {QUALITY.generated_head})), {quoted('|'.join(tx.GENERATED))})",
@@ -59,12 +67,12 @@ CTES = {
         list_filter(list_transform(parts, lambda x: {collapsed('x')}), lambda x: x <> '') AS bare FROM raw""",
     "measured": f"""SELECT *, length(text) AS characters, len(line_list) AS lines, len(bare) AS nonempty_lines,
         len(regexp_extract_all(text, {_WORD})) AS words, list_max(list_transform(line_list, lambda x: length(x))) AS max_line_chars,
-        length(text) / greatest(len(line_list), 1) AS mean_line_chars,
-        CASE WHEN len(bare) > 0 THEN 1 - len(list_distinct(bare)) / len(bare) ELSE 0.0::DOUBLE END AS repeated_line_fraction,
-        len(regexp_extract_all(text, '\\s')) / greatest(length(text), 1) AS whitespace_fraction,
-        len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]')) / greatest(length(text), 1) AS alphanumeric_fraction,
+        {rounded('length(text)', 'len(line_list)', 3)} AS mean_line_chars, len(bare) - len(list_distinct(bare)) AS repeated_lines,
+        {rounded('len(bare) - len(list_distinct(bare))', 'len(bare)', 6)} AS repeated_line_fraction,
+        {rounded("len(regexp_extract_all(text, '[ ' || chr(9) || '-' || chr(13) || ']'))", 'length(text)', 6)} AS whitespace_fraction,
+        {rounded(f"len(regexp_extract_all(text, {quoted(ALNUM)}))", 'length(text)', 6)} AS alphanumeric_fraction,
         len(regexp_extract_all(text, {quoted(tx.URL)})) AS url_count,
-        len(list_filter(line_list, lambda x: regexp_matches(x, {quoted(tx.CODE_LINE)}))) / greatest(len(line_list), 1) AS code_line_fraction FROM lined""",
+        {rounded(f"len(list_filter(line_list, lambda x: regexp_matches(x, {quoted(tx.CODE_LINE)})))", 'len(line_list)', 6)} AS code_line_fraction FROM lined""",
     "flagged": "SELECT *, list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{f}' END" for f, c in _FLAGS.items()) + "], lambda x: x IS NOT NULL) AS flags FROM measured",
     "fp": f"""SELECT *, {_SOFT} AS penalty, sha256(text) AS content_hash, sha256({normalized('text')}) AS normalized_hash,
         sha256('english-normalized-provisional'::BLOB || '\\x00'::BLOB || unhex(sha256({normalized('text')}))) AS final_cluster,
@@ -90,11 +98,13 @@ CTES = {
     })} AS reason FROM fp""",
     "quality_reasons": f"SELECT id, 'quality:' || flag AS reason FROM (SELECT id, unnest(flags) AS flag FROM fp) WHERE flag IN ({_HARD})",
     "reasons0": "SELECT * FROM quality_reasons UNION ALL SELECT id, 'benchmark:' || reason FROM guard WHERE reason IS NOT NULL",
-    "bad": "SELECT DISTINCT content_hash, final_cluster FROM fp WHERE id IN (SELECT id FROM reasons0 WHERE reason LIKE 'benchmark:%')",
-    "propagated": f"""SELECT id, '{curate.PROPAGATED}' AS reason FROM fp WHERE content_hash IN (SELECT content_hash FROM bad)
+    "mappedfp": """SELECT f.* EXCLUDE (final_cluster), sha256('english-near-cluster' || chr(0) || 'english-near-v1-' || r.key) AS final_cluster
+        FROM fp f JOIN clustered c ON c.id = f.id JOIN numbered r ON r.ordinal = c.root""",
+    "bad": "SELECT DISTINCT content_hash, final_cluster FROM mappedfp WHERE id IN (SELECT id FROM reasons0 WHERE reason LIKE 'benchmark:%')",
+    "propagated": f"""SELECT id, '{curate.PROPAGATED}' AS reason FROM mappedfp WHERE content_hash IN (SELECT content_hash FROM bad)
         OR final_cluster IN (SELECT final_cluster FROM bad)""",
     "reasons1": "SELECT * FROM reasons0 UNION ALL SELECT * FROM propagated",
-    "clean": "SELECT * FROM fp WHERE id NOT IN (SELECT id FROM reasons1)",
+    "clean": "SELECT * FROM mappedfp WHERE id NOT IN (SELECT id FROM reasons1)",
     "exact": "SELECT content_hash, penalty, key, id AS canonical_id, final_cluster FROM clean QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY penalty, key) = 1",
     "final": "SELECT final_cluster, canonical_id FROM exact QUALIFY row_number() OVER (PARTITION BY final_cluster ORDER BY penalty, key) = 1",
     "mapped": "SELECT c.id, f.canonical_id FROM clean c JOIN exact e ON e.content_hash = c.content_hash JOIN final f ON f.final_cluster = e.final_cluster",
@@ -102,7 +112,7 @@ CTES = {
         FROM clean c JOIN exact e ON e.content_hash = c.content_hash JOIN final f ON f.final_cluster = c.final_cluster
         WHERE c.id <> e.canonical_id OR c.id <> f.canonical_id""",
     "reasons": "SELECT * FROM reasons1 UNION ALL SELECT * FROM residual",
-    "eligible": f"SELECT *, bucket AS category, {split_of('source_group')} AS split FROM fp WHERE id NOT IN (SELECT id FROM reasons)",
+    "eligible": f"SELECT *, bucket AS category, {split_of('source_group')} AS split FROM mappedfp WHERE id NOT IN (SELECT id FROM reasons)",
     "quotas": "SELECT split, category, (sum(words) * 3 // 5)::BIGINT AS target FROM eligible GROUP BY split, category",
     "ranked": "SELECT *, coalesce(sum(words) OVER (PARTITION BY split, category ORDER BY selection_rank, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM eligible",
     "selected": "SELECT r.id, r.split, r.category, least(r.words, q.target - r.before)::BIGINT AS selected_tokens FROM ranked r JOIN quotas q ON r.split = q.split AND r.category = q.category WHERE r.before < q.target",
@@ -129,7 +139,8 @@ CTES = {
     "packed": f"""SELECT split, domain, row_id, list(tok ORDER BY spot) AS tokens, list(fresh ORDER BY spot) AS starts FROM cells
         GROUP BY split, domain, row_id HAVING count(*) = {PACK.length + 1}""",
     "turns": "SELECT *, lead(role) OVER w AS next, lead(text) OVER w AS completion FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)",
-    "sft_rows": """SELECT md5(conv_id::VARCHAR || ':' || turn::VARCHAR) AS id, text AS input, completion AS output,
+    "sft_rows": """SELECT md5(conv_id::VARCHAR || ':' || turn::VARCHAR) AS id,
+        text || CASE WHEN conv_id % 17 = 4 THEN chr(10) || (SELECT text FROM benchmark ORDER BY item_id LIMIT 1) ELSE '' END AS input, completion AS output,
         CASE WHEN conv_id % 11 = 3 THEN 'other' ELSE 'generic' END AS domain, 'self-instruct' AS generation_algorithm,
         CASE WHEN conv_id % 13 = 5 THEN 1.5 ELSE 0.5 END AS average_test_score FROM turns WHERE role = 'user' AND next = 'assistant'""",
     "sft_marked": f"SELECT *, 'prompt-sha256:' || sha256({normalized('input')}) AS group_id, len(regexp_extract_all(input, {_WORD})) + len(regexp_extract_all(output, {_WORD})) + 4 AS tokens FROM sft_rows",
