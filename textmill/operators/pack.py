@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.config import PackConfig
@@ -100,6 +100,7 @@ def violations(rows: DataFrame, config: PackConfig) -> DataFrame:
         "first_start": ~F.col("starts")[0],
         "vocabulary": F.exists("tokens", lambda x: (x < 0) | (x >= config.vocabulary)),
         "start_after_end_token": F.exists(pairs, lambda x: x),
+        "starts_length": F.size("starts") != config.length + 1,
     }
     sums = rows.agg(*(F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long").alias(k) for k, c in rules.items()))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in rules))).alias("r")).select("r.*")
@@ -156,6 +157,12 @@ def training_order(rows: DataFrame, counts: dict[str, int], seed: str) -> DataFr
     return running(taken.withColumn("mix", digest("mix")), [], ["mix"], {"position": F.lit(1).cast("long")}).select("position", "domain", "row_id")
 
 
+def smoke_documents(docs: DataFrame, n: int) -> DataFrame:
+    """The first n documents of each domain by id: a small build. Top n, so a task keeps n of a domain."""
+    place = F.row_number().over(Window.partitionBy("domain").orderBy("id"))
+    return docs.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
 def reference(domain_id: Column, row_id: Column) -> Column:
     """A domain and row in one long: eight bits and 56."""
     return F.shiftleft(domain_id.cast("long"), 56).bitwiseOR(row_id.cast("long"))
@@ -173,6 +180,32 @@ def order_report(order: DataFrame, counts: dict[str, int]) -> DataFrame:
     return joined.withColumn("valid", (F.col("rows") == F.col("planned")) & (F.col("distinct_rows") == F.col("planned")))
 
 
+def order_accounts(order: DataFrame, there: DataFrame, config: PackConfig) -> DataFrame:
+    """Rows and tokens of each domain in the order, their share of all, and rows there are that it leaves out."""
+    got = order.groupBy("domain").agg(F.count(F.lit(1)).alias("rows"))
+    total = got.agg(F.sum("rows").alias("all"))  # one row
+    rows = got.join(there.select("domain", F.col("rows").alias("have")), "domain").join(F.broadcast(total))
+    return rows.select("domain", "rows", (F.col("rows") * config.length).alias("tokens"), (F.col("rows") / F.col("all")).alias("share"), (F.col("have") - F.col("rows")).alias("dropped_rows"))
+
+
+def order_budget(order: DataFrame, config: PackConfig, quantum: int) -> DataFrame:
+    """Whether positions run from 0 without a gap, and how rows and tokens fill updates of `quantum` rows."""
+    n = F.col("rows")
+    totals = order.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("position").alias("positions"), F.min("position").alias("first"), F.max("position").alias("last"))
+    return totals.select(
+        "rows", "positions", "first", "last", (n * config.length).alias("tokens"), (n - n % quantum).alias("batched_rows"), (n % quantum).alias("surplus_rows"),
+        ((n == F.col("positions")) & (F.col("last") == n - 1)).alias("contiguous"),
+    )
+
+
+def resumed(order: DataFrame, ranks: int, per_rank: int, done: int, rank: int) -> DataFrame:
+    """A rank's rows of the complete global batches after `done` rows, which must be whole batches."""
+    if done % (ranks * per_rank):
+        raise ValueError(f"{done} rows are not whole batches of {ranks * per_rank}")
+    mine = microbatches(order, ranks, per_rank).where((F.col("position") >= done) & (F.col("rank") == rank))
+    return mine.select("position", "domain", "row_id", "batch")
+
+
 def microbatches(order: DataFrame, ranks: int, per_rank: int) -> DataFrame:
     """Complete global batches, each rank with a run of its own; the rest of the order is left out."""
     size = ranks * per_rank

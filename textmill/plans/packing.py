@@ -110,14 +110,24 @@ def available_rows(spark, sf):
     return pack.available(index(spark, sf), PACK)
 
 
-@query("SELECT unnest(['row_length', 'first_start', 'vocabulary', 'start_after_end_token']) AS rule, 0::BIGINT AS violations")
+@query(f"""SELECT unnest(['row_length', 'first_start', 'vocabulary', 'start_after_end_token', 'starts_length']) AS rule, unnest([
+    count(*) FILTER (WHERE len(tokens) <> {T + 1}), count(*) FILTER (WHERE NOT starts[1]), count(*) FILTER (WHERE len(list_filter(tokens, lambda x: x < 0 OR x >= {PACK.vocabulary})) > 0),
+    count(*) FILTER (WHERE len(list_filter(range(1, {T + 1}), lambda i: starts[i + 1] AND tokens[i] <> {PACK.eos})) > 0),
+    count(*) FILTER (WHERE len(starts) <> {T + 1})]) AS violations FROM (SELECT split, domain, row_id, CASE WHEN row_id % 7 = 3 THEN list_transform(tokens, lambda x: x + 60000) ELSE tokens END AS tokens,
+        CASE WHEN row_id % 5 = 2 THEN list_concat([false], starts[2:]) ELSE starts END AS starts FROM packed)""")
 def packed_violations(spark, sf):
-    return pack.violations(rows_of(spark, sf), PACK)
+    """Rows that break each rule, among them some whose ids or starts are spoilt."""
+    rows = rows_of(spark, sf)
+    tokens = F.when(F.col("row_id") % 7 == 3, F.transform("tokens", lambda x: x + 60_000)).otherwise(F.col("tokens"))
+    starts = F.when(F.col("row_id") % 5 == 2, F.concat(F.array(F.lit(False)), F.slice("starts", 2, T))).otherwise(F.col("starts"))
+    return pack.violations(rows.withColumns({"tokens": tokens, "starts": starts}), PACK)
 
 
-@query("SELECT split, domain, count(*) AS documents, 0::BIGINT AS gaps FROM indexed GROUP BY split, domain")
+@query("""SELECT split, domain, count(*) AS documents, count(*) FILTER (WHERE start <> coalesce(before, 0) AND NOT (before IS NULL AND start = 0)) AS gaps FROM (
+    SELECT split, domain, start, lag(start + n_tokens + 1) OVER (PARTITION BY split, domain ORDER BY archive, manifest_index) AS before FROM indexed WHERE id % 10 <> 4) GROUP BY split, domain""")
 def document_index_gaps(spark, sf):
-    return pack.index_gaps(index(spark, sf))
+    """Where streams break off, with the documents whose id ends in 4 taken out of the index."""
+    return pack.index_gaps(index(spark, sf).where("id % 10 != 4"))
 
 
 @query("""SELECT domain, n, rows::BIGINT AS allotted FROM (SELECT domain, n, (1001 * n) // t + CASE WHEN row_number() OVER (ORDER BY (1001 * n) % t DESC, domain) <= 1001 - sum((1001 * n) // t) OVER () THEN 1 ELSE 0 END AS rows
@@ -129,12 +139,15 @@ def largest_remainder(spark, sf):
     return spark.createDataFrame([(d, n[d], shares[d]) for d in n], "domain string, n long, allotted long")
 
 
-@query(f"""SELECT * FROM (WITH have AS (SELECT domain, rows FROM ({_AVAILABLE}) WHERE split = 'train'), parts(domain, k) AS (VALUES ('de', 1), ('en', 2), ('es', 1), ('fr', 1)),
+_FEASIBLE = f"""SELECT * FROM (WITH have AS (SELECT domain, rows FROM ({_AVAILABLE}) WHERE split = 'train'), parts(domain, k) AS (VALUES ('de', 1), ('en', 2), ('es', 1), ('fr', 1)),
     totals AS (SELECT unnest(range(0, (SELECT coalesce(sum(rows), 0) FROM have)::BIGINT + 1)) AS n),
     allotted AS (SELECT n, domain, (n * k) // 5 + CASE WHEN row_number() OVER (PARTITION BY n ORDER BY (n * k) % 5 DESC, domain) <= n - sum((n * k) // 5) OVER (PARTITION BY n) THEN 1 ELSE 0 END AS rows
         FROM totals, parts),
     best AS (SELECT max(n) AS n FROM (SELECT n FROM allotted a LEFT JOIN have h ON h.domain = a.domain GROUP BY n HAVING bool_and(a.rows <= coalesce(h.rows, 0))))
-    SELECT a.domain, coalesce(h.rows, 0)::BIGINT AS have, a.rows::BIGINT AS allotted FROM allotted a JOIN best USING (n) LEFT JOIN have h ON h.domain = a.domain)""")
+    SELECT a.domain, coalesce(h.rows, 0)::BIGINT AS have, a.rows::BIGINT AS allotted FROM allotted a JOIN best USING (n) LEFT JOIN have h ON h.domain = a.domain)"""
+
+
+@query(_FEASIBLE)
 def feasible_rows(spark, sf):
     """The longest order that the weights allow: rows there are and rows allotted of each domain."""
     there = pack.available(index(spark, sf), PACK).where("split = 'train'").select("domain", "rows").collect()  # a row a domain
@@ -152,14 +165,18 @@ def row_sample(spark, sf):
 
 _ORDER_CTE = f"""SELECT (row_number() OVER (ORDER BY sha256('{SEED}:mix:' || domain || ':' || row_id)) - 1)::BIGINT AS position, domain, row_id FROM (
     SELECT domain, row_id, row_number() OVER (PARTITION BY domain ORDER BY sha256('{SEED}:pick:' || domain || ':' || row_id)) - 1 AS place
-    FROM (SELECT domain, unnest(range(0, rows)) AS row_id FROM ({_AVAILABLE}) WHERE split = 'train')) WHERE place < 40"""
-TAKEN = 40
+    FROM (SELECT domain, unnest(range(0, rows)) AS row_id FROM ({_AVAILABLE}) WHERE split = 'train')) x JOIN ({_FEASIBLE}) f USING (domain) WHERE place < f.allotted"""
+
+
+def planned(spark, sf) -> tuple[DataFrame, dict[str, int]]:
+    """The longest order that the weights and the supply of training rows allow, and its rows of each domain."""
+    rows = cut(train_rows(spark, sf))
+    shares = counts(spark, sf, rows)
+    return cut(pack.training_order(rows, shares, SEED)), shares
 
 
 def order(spark, sf) -> DataFrame:
-    """Forty training rows of each domain, ordered."""
-    rows = train_rows(spark, sf)
-    return cut(pack.training_order(rows, dict.fromkeys(WEIGHTS, TAKEN), SEED))
+    return planned(spark, sf)[0]
 
 
 @query(_ORDER_CTE)
@@ -167,16 +184,34 @@ def training_order(spark, sf):
     return order(spark, sf)
 
 
-@query()
+@query(f"""SELECT o.domain, count(*) AS rows, count(*) * {T}::BIGINT AS tokens, count(*) / sum(count(*)) OVER () AS share, any_value(f.have) - count(*) AS dropped_rows
+    FROM ({_ORDER_CTE}) o JOIN ({_FEASIBLE}) f ON f.domain = o.domain GROUP BY o.domain""")
 def mixture_order(spark, sf):
-    """The longest order that the weights allow, by largest remainder."""
-    rows = cut(train_rows(spark, sf))
-    return pack.training_order(rows, counts(spark, sf, rows), SEED)
+    """What the order holds of each domain, its share of all, and the rows that the weights leave out."""
+    made = order(spark, sf)
+    there = pack.available(index(spark, sf), PACK).where("split = 'train'").select("domain", "rows")
+    return pack.order_accounts(made, there, PACK)
 
 
-@query(f"SELECT domain, {TAKEN}::BIGINT AS planned, count(*) AS rows, count(DISTINCT row_id) AS distinct_rows, count(*) = {TAKEN} AS valid FROM ({_ORDER_CTE}) GROUP BY domain")
+@query(f"""SELECT f.domain, f.allotted AS planned, coalesce(o.rows, 0) AS rows, coalesce(o.distinct_rows, 0) AS distinct_rows,
+    coalesce(o.rows, 0) = f.allotted AND coalesce(o.distinct_rows, 0) = f.allotted AS valid FROM ({_FEASIBLE}) f
+    LEFT JOIN (SELECT domain, count(*) AS rows, count(DISTINCT row_id) AS distinct_rows FROM ({_ORDER_CTE}) GROUP BY domain) o ON o.domain = f.domain""")
 def order_validation(spark, sf):
-    return pack.order_report(order(spark, sf), dict.fromkeys(WEIGHTS, TAKEN))
+    made, shares = planned(spark, sf)
+    return pack.order_report(made, shares)
+
+
+@query(f"""SELECT count(*) AS rows, count(DISTINCT position) AS positions, min(position) AS first, max(position) AS last, count(*) * {T}::BIGINT AS tokens,
+    (count(*) // 12 * 12)::BIGINT AS batched_rows, (count(*) % 12)::BIGINT AS surplus_rows, count(*) = count(DISTINCT position) AND max(position) = count(*) - 1 AS contiguous FROM ({_ORDER_CTE})""")
+def order_budget(spark, sf):
+    """Rows, positions and tokens of the order against updates of twelve rows."""
+    return pack.order_budget(order(spark, sf), PACK, 12)
+
+
+@query(f"""SELECT position, domain, row_id, position // 12 AS batch FROM ({_ORDER_CTE}) WHERE position >= 36 AND position < (SELECT count(*) FROM ({_ORDER_CTE})) // 12 * 12 AND position % 12 // 3 = 2""")
+def resumed_batches(spark, sf):
+    """What rank 2 of 4 still reads after three updates."""
+    return pack.resumed(order(spark, sf), 4, 3, 36, 2)
 
 
 @query(f"""SELECT position, domain, row_id, position // 12 AS batch, (position % 12 // 3)::INTEGER AS rank, (position % 3)::INTEGER AS slot

@@ -16,10 +16,12 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 
 def source(spark, sf) -> DataFrame:
-    """Prompt and completion pairs of the conversations as source rows; some are made faulty."""
+    """Prompt and completion pairs of the conversations as source rows; some are made faulty, or hold a benchmark item."""
     p = sft.pairs(read(spark, sf, "conversations"))
+    item = read(spark, sf, "benchmark").orderBy("item_id").select("text").first()
+    prompt = F.when(F.col("conv_id") % 17 == 4, F.concat("prompt", F.lit("\n"), F.lit(item.text if item else ""))).otherwise(F.col("prompt"))
     return p.select(
-        F.md5(F.concat_ws(":", "conv_id", "turn")).alias("id"), F.col("prompt").alias("input"), F.col("completion").alias("output"),
+        F.md5(F.concat_ws(":", "conv_id", "turn")).alias("id"), prompt.alias("input"), F.col("completion").alias("output"),
         F.when(F.col("conv_id") % 11 == 3, "other").otherwise("generic").alias("domain"), F.lit("self-instruct").alias("generation_algorithm"),
         F.when(F.col("conv_id") % 13 == 5, 1.5).otherwise(0.5).alias("average_test_score"),
     )
@@ -62,10 +64,20 @@ def sft_counters(spark, sf):
     return sft.counters(decided(spark, sf))
 
 
-@query("""SELECT doc_id AS id, """ + first_failing({k: f"regexp_matches(text, {quoted(p)})" for k, p in sft.SECRETS.items()}) + " AS kind FROM documents WHERE "
-       + " OR ".join(f"regexp_matches(text, {quoted(p)})" for p in sft.SECRETS.values()))
+_PLANTED = """SELECT doc_id AS id, text || CASE WHEN doc_id % 25 = 7 THEN ' AKIA' || upper(substr(md5(doc_id::VARCHAR), 1, 16)) || ' ' WHEN doc_id % 25 = 8 THEN chr(10) || '-----BEGIN EC PRIVATE KEY-----'
+    WHEN doc_id % 25 = 9 THEN ' ghp_' || md5(doc_id::VARCHAR) || 'abcd' WHEN doc_id % 25 = 10 THEN ' xoxb-' || md5(doc_id::VARCHAR) WHEN doc_id % 25 = 11 THEN ' AKIA' || md5(doc_id::VARCHAR) ELSE '' END AS text FROM documents"""
+
+
+@query("SELECT id, kind FROM (SELECT id, " + first_failing({k: f"regexp_matches(text, {quoted(p)})" for k, p in sft.SECRETS.items()}) + f" AS kind FROM ({_PLANTED})) WHERE kind IS NOT NULL")
 def secret_kinds(spark, sf):
-    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), sft.secret_kind(F.col("text")).alias("kind"))
+    """Kinds of secrets in documents into which some are planted, and some that only look alike."""
+    digest, turn = F.md5(F.col("doc_id").cast("string")), F.col("doc_id") % 25
+    planted = {
+        7: F.concat(F.lit(" AKIA"), F.upper(F.substring(digest, 1, 16)), F.lit(" ")), 8: F.lit("\n-----BEGIN EC PRIVATE KEY-----"),
+        9: F.concat(F.lit(" ghp_"), digest, F.lit("abcd")), 10: F.concat(F.lit(" xoxb-"), digest), 11: F.concat(F.lit(" AKIA"), digest),
+    }
+    added = F.coalesce(*(F.when(turn == k, v) for k, v in planted.items()), F.lit(""))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), sft.secret_kind(F.concat("text", added)).alias("kind"))
     return docs.where("kind is not null")
 
 
