@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from textmill.plans import curation, ingest, neardup, packing, sft
+from textmill.plans import control, curation, ingest, neardup, packing, sft, sinks
 
-MODULES = (curation, neardup, packing, sft, ingest)
+MODULES = (curation, neardup, packing, sft, ingest, sinks, control)
 NAMES = [(m, n) for m in MODULES for n in m.ORACLES]
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -25,7 +25,7 @@ def listed(rows):
 
 @pytest.mark.parametrize(("module", "name"), NAMES, ids=[n for _, n in NAMES])
 def test_query_agrees_with_sql(spark, sf, duck, module, name):
-    if name in ("parquet_inventory", "training_order", "order_validation", "microbatch_ranks", "order_lookup", "feasible_rows", "row_sample"):
+    if "order" in name or name in ("microbatch_ranks", "resumed_batches", "feasible_rows", "row_sample", "sft_contaminated_groups"):
         folder = "/root/testdata/sf0.01"  # the smallest tables hold too little for these
         con = duckdb.connect()
         for t in TABLES:
@@ -36,10 +36,9 @@ def test_query_agrees_with_sql(spark, sf, duck, module, name):
     assert listed(ours) == listed(con.execute(module.ORACLES[name]).to_arrow_table().to_pylist())
 
 
-@pytest.mark.parametrize("name", ["near_bands", "near_candidates_lsh", "bottom_k_sketch", "mixture_order"])
-def test_query_without_sql(spark, sf, name):
-    module = next(m for m in MODULES if name in m.QUERIES)
-    assert module.QUERIES[name](spark, sf).count() > 0
+def test_preflight(spark, sf):
+    row = control.QUERIES["refinement_preflight"](spark, sf).first()
+    assert row.within and 0 < row.sampled <= row.pairs
 
 
 def test_entry(spark):

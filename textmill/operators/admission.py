@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.prefix import running
+from textmill.functions.prefix import ordinal, running
 
 # Benchmark names that quarantine a path or url.
 QUARANTINE = ("mbpp", "evalplus", "eval_plus", "multi-pl-e", "multipl-e", "multiple-e", "mbxp", "mxeval", "human_eval", "humaneval")
@@ -75,6 +75,15 @@ def safe_member(path: Column) -> Column:
     return (path != "") & ~path.rlike(r"^/|\\|[\x00-\x1f]") & ~F.exists(parts, lambda p: p.isin("", ".", ".."))
 
 
+def discover(archives: DataFrame, ledger: DataFrame, reports: DataFrame, errors: DataFrame, retry_errors: bool = False) -> DataFrame:
+    """Archives (archive, bucket, bytes) with a ledger record, without a report, and without an error unless those are
+    tried again; `place` counts them from 1, the smallest first."""
+    due = archives.join(ledger.select("archive").distinct(), "archive", "left_semi").join(reports.select("archive").distinct(), "archive", "left_anti")
+    if not retry_errors:
+        due = due.join(errors.select("archive").distinct(), "archive", "left_anti")
+    return ordinal(due, ["bytes", "bucket", "archive"], "place").withColumn("place", F.col("place") + 1)
+
+
 def ledger_status(ledger: DataFrame, quotas: DataFrame) -> DataFrame:
     """Tokens committed towards each quota; a null key of a quota matches any value. Quotas are a handful of rows."""
     on = F.lit(True)

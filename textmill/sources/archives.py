@@ -17,6 +17,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.functions.prefix import running
+from textmill.operators.admission import first_failing
+
 MANIFEST = "_manifest.jsonl"
 MEMBERS = "archive string, manifest_index long, member_path string, content string, sha256 string, size_bytes long"
 
@@ -87,13 +90,22 @@ def unpacked(packed: DataFrame) -> DataFrame:
     return packed.select("archive", "data").mapInArrow(members, MEMBERS)
 
 
-def archived(docs: DataFrame, per_archive: int = 1000) -> DataFrame:
-    """(archive, data): archive bytes of documents with archive, manifest_index, member_path and text.
+def parts(docs: DataFrame, most_bytes: int) -> DataFrame:
+    """Documents (archive, manifest_index, size_bytes and more) with part, which of their archive's parts they go to.
+
+    A part begins once `most_bytes` have gone to those before, so it holds at most that and one document more.
+    """
+    placed = running(docs, ["archive"], ["manifest_index"], {"before": F.col("size_bytes")})
+    return placed.withColumn("part", F.floor(F.col("before") / most_bytes).cast("long")).drop("before")
+
+
+def archived(docs: DataFrame) -> DataFrame:
+    """(archive, data): archive bytes of documents with archive, part, manifest_index, member_path and text.
 
-    A group's documents are cut into parts of `per_archive`, so a part's size is bounded.
+    A part is one task's work; `parts` bounds its size. A group without documents gives no archive.
     """
-    part = F.format_string("%s-part-%06d.tar.zst", F.col("archive"), F.floor(F.col("manifest_index") / per_archive))
-    rows = docs.select(part.alias("archive"), "manifest_index", "member_path", F.col("text"))
+    name = F.format_string("%s-part-%06d.tar.zst", "archive", "part")
+    rows = docs.select(name.alias("archive"), "manifest_index", "member_path", F.col("text"))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by("manifest_index")
@@ -101,3 +113,27 @@ def archived(docs: DataFrame, per_archive: int = 1000) -> DataFrame:
         return pa.table({"archive": [table["archive"][0].as_py()], "data": pa.array([pack_archive(members)], pa.binary())})
 
     return rows.groupBy("archive").applyInArrow(packed, "archive string, data binary")
+
+
+def merged_manifest(manifest: DataFrame, measured: DataFrame) -> DataFrame:
+    """Rows of a manifest and of what was measured, joined by their place in the archive, with `problem`, null if they agree.
+
+    `manifest` has archive, manifest_index, member_path, size_bytes, tokens; `measured` archive, manifest_index,
+    member_path, size_bytes and more. Rows that only one side has, other members and other sizes are problems.
+    """
+    m = manifest.select("archive", "manifest_index", "member_path", "size_bytes", "tokens")
+    rest = [c for c in measured.columns if c not in m.columns]
+    found = measured.select("archive", "manifest_index", F.col("member_path").alias("found_path"), F.col("size_bytes").alias("found_bytes"), *rest)
+    problem = first_failing({
+        "no_member": F.col("found_path").isNull(), "no_manifest_row": F.col("member_path").isNull(), "member_order": F.col("member_path") != F.col("found_path"),
+        "size": F.col("size_bytes") != F.col("found_bytes"), "not_positive": (F.col("size_bytes") <= 0) | (F.col("tokens") <= 0),
+    })
+    return m.join(found, ["archive", "manifest_index"], "full").withColumn("problem", problem).drop("found_bytes")
+
+
+def assert_merged(rows: DataFrame) -> DataFrame:
+    """The merged rows, if none has a problem; else an error that names the first few."""
+    bad = rows.where("problem is not null").orderBy("archive", "manifest_index").select("archive", "manifest_index", "problem").limit(3).collect()
+    if bad:
+        raise ValueError(f"the manifest doesn't agree with the members: {bad}")
+    return rows.drop("problem", "found_path")
