@@ -65,7 +65,7 @@ def test_end_tokens_in_documents_are_no_boundaries(spark):
 
 def test_broken_rows_are_counted(spark):
     rows = spark.createDataFrame([("train", "d", 0, [1, 2, 3, 4, 99_999], [False, False, True, False, False])], "split string, domain string, row_id long, tokens array<int>, starts array<boolean>")
-    assert {r.rule: r.violations for r in pack.violations(rows, T4).collect()} == {"row_length": 0, "first_start": 1, "vocabulary": 1, "start_after_end_token": 1}
+    assert {r.rule: r.violations for r in pack.violations(rows, T4).collect()} == {"row_length": 0, "first_start": 1, "vocabulary": 1, "start_after_end_token": 1, "starts_length": 0}
 
 
 def test_largest_remainder():

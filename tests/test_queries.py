@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from textmill.plans import control, curation, ingest, neardup, packing, sft, sinks
+from textmill.plans import control, curation, ingest, neardup, packing, sft, sinks, variants
 
-MODULES = (curation, neardup, packing, sft, ingest, sinks, control)
+MODULES = (curation, neardup, packing, sft, ingest, sinks, control, variants)
 NAMES = [(m, n) for m in MODULES for n in m.ORACLES]
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from textmill.storage import cut
 
+#: Offsets are short rows; up to so many are broadcast, more are joined by shuffle.
+BROADCAST_OFFSETS = 500_000
+
 
 def running(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """`df` with, for each name, the sum of its value over the rows before in the group (exclusive).
@@ -26,7 +29,8 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dic
     dealt = cut(df.withColumns(values).repartitionByRange(n, *group, *order)).withColumn("__part", F.spark_partition_id())
     here = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = dealt.withColumns({name: F.coalesce(F.sum(f"__v_{name}").over(here), F.lit(0)) for name in sums})
-    totals = dealt.groupBy("__part", *group).agg(*(F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums))
+    # ranges of groups meet at partition bounds: at most partitions + groups rows
+    totals = cut(dealt.groupBy("__part", *group).agg(*(F.sum(f"__v_{name}").alias(f"__t_{name}") for name in sums)))
     ahead = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         F.col("__part").alias("__p"), *(F.col(g).alias(f"__g_{g}") for g in group),
@@ -35,8 +39,8 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dic
     on = F.col("__part") == F.col("__p")
     for g in group:
         on &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-    # ranges of groups meet at partition bounds: at most partitions + groups rows
-    joined = local.join(F.broadcast(offsets), on)
+    small = totals.limit(BROADCAST_OFFSETS + 1).count() <= BROADCAST_OFFSETS
+    joined = local.join(F.broadcast(offsets) if small else offsets.hint("shuffle_merge"), on)
     return joined.select(*df.columns, *((F.col(name) + F.col(f"__o_{name}")).alias(name) for name in sums))
 
 

@@ -121,3 +121,9 @@ def closure(ledger: DataFrame, markers: DataFrame, targets: DataFrame) -> DataFr
         "below_target": F.col("tokens") < F.col("target"), "marker": ~F.col("marked").eqNullSafe(F.col("tokens")),
     })
     return rows.select("bucket", "target", "tokens", F.coalesce(failure, F.lit("")).alias("failure"))
+
+
+def file_closure(files: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
+    """(key, state): files that no ledger record names, and records whose file isn't there; a closed collection has none."""
+    f, r = files.select(key).distinct(), ledger.select(key).distinct()
+    return f.join(r, key, "left_anti").withColumn("state", F.lit("without_record")).unionByName(r.join(f, key, "left_anti").withColumn("state", F.lit("without_file")))

@@ -212,18 +212,6 @@ def stratified_sample(pairs: DataFrame, strata: int, per: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= per)
 
 
-def perturbed(words: Column, kind: str, amount: Column) -> Column:
-    """Words with their tail cut, a run replaced, or others appended."""
-    n = F.size(words)
-    if kind == "truncate":
-        return F.slice(words, F.lit(1), F.greatest(n - amount, F.lit(0)))
-    made = F.transform(F.sequence(F.lit(1), amount), lambda i: F.concat(F.lit("new"), i.cast("string")))
-    if kind == "append":
-        return F.concat(words, made)
-    start = F.floor((n - amount) / 2).cast("int")
-    return F.concat(F.slice(words, F.lit(1), start), made, F.slice(words, start + amount + 1, F.greatest(n - start - amount, F.lit(0))))
-
-
 def paired_documents(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(archive, id) of the documents that stand on either side of a pair (a, b), each once."""
     sides = pairs.select(F.col("a").alias("ordinal")).unionByName(pairs.select(F.col("b").alias("ordinal"))).distinct()

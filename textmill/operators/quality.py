@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions.identity import document_key
+from textmill.functions.prefix import ordinal
+
 
 def flag_histogram(fp: DataFrame) -> DataFrame:
     """Documents by bucket and flag."""
@@ -65,6 +68,33 @@ def record_violations(fp: DataFrame) -> DataFrame:
     return sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in rules))).alias("r")).select("r.*")
 
 
+def record_audit(rows: DataFrame, version: int) -> DataFrame:
+    """How many records break each rule: (archive, version, manifest_index, key, words, flags, benchmark_reason).
+
+    Places run from 0 in each archive, a key is that of its archive and id, and the contamination flag stands if and
+    only if there is a reason for it; whether places have gaps is told by `contiguity`.
+    """
+    flagged, reason = F.array_contains("flags", "benchmark_contamination"), F.col("benchmark_reason").isNotNull()
+    rules = {
+        "version": F.col("version") != version, "manifest_index": F.col("manifest_index") < 0, "key": F.col("key") != document_key(F.col("archive"), F.col("id")),
+        "flag_without_reason": flagged & ~reason, "reason_without_flag": reason & ~flagged, "tokens": F.col("words") <= 0,
+    }
+    sums = rows.agg(*(F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long").alias(k) for k, c in rules.items()))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("violations")) for k in rules))).alias("r")).select("r.*")
+
+
+def ordered_digest(df: DataFrame, columns: list[str], order: list[str], batch: int) -> DataFrame:
+    """(digest, batches, rows): rows are digested, then batches of them in order, then the batches' digests in order.
+
+    A task holds the digests of a batch, and the last one those of all batches.
+    """
+    row = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)), 256)
+    placed = ordinal(df.select(*dict.fromkeys([*columns, *order])), order, "place").select("place", row.alias("row"))
+    joined = lambda at, of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, of))), lambda x: x[of]), "\n" if of == "row" else "")
+    parts = placed.groupBy(F.floor(F.col("place") / batch).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sha2(joined("place", "row"), 256).alias("part"))
+    return parts.agg(F.sha2(joined("batch", "part"), 256).alias("digest"), F.count(F.lit(1)).alias("batches"), F.sum("n").alias("rows"))
+
+
 def lowest_priority(df: DataFrame, by: str, k: int, priority) -> DataFrame:
     """The k rows of least priority of each group; ranks are limited before they are shuffled."""
     ranked = df.withColumn("priority", priority)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textmill.config import SftPolicy
 from textmill.functions import text as tx
 from textmill.operators.admission import first_failing
+from textmill.operators.pack import token_ids
 
 # Secret patterns by name, in order, and the chat template.
 SECRETS = {
@@ -78,6 +79,31 @@ def turn_counts(m: Column) -> Column:
     return F.transform(m, lambda x, i: F.struct(i.alias("place"), x["role"].alias("role"), tx.word_count(x["text"]).alias("words"), (x["role"] == "assistant").alias("sampled")))
 
 
+def message_tokens(m: Column, vocabulary: int) -> Column:
+    """For each message its role and ids: those of its words, and the end id 0 after what the model writes."""
+    end = lambda x: F.when(x["role"] == "assistant", F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.transform(m, lambda x: F.struct(x["role"].alias("role"), F.concat(token_ids(x["text"], vocabulary), end(x)).alias("ids")))
+
+
+def token_masks(rows: DataFrame, vocabulary: int) -> DataFrame:
+    """(conv_id, message, nth, token, sampled, content) of every id of the conversations (conv_id, messages)."""
+    each = rows.select("conv_id", F.posexplode(message_tokens(F.col("messages"), vocabulary)).alias("message", "m"))
+    ids = each.select("conv_id", "message", (F.col("m.role") == "assistant").alias("sampled"), F.posexplode("m.ids").alias("nth", "token"))
+    return ids.select("conv_id", "message", "nth", "token", "sampled", (F.col("token") != 0).alias("content"))
+
+
+def message_spans(rows: DataFrame, vocabulary: int) -> DataFrame:
+    """(conv_id, spans): start and stop of each message's ids in its conversation."""
+    sizes = F.transform(message_tokens(F.col("messages"), vocabulary), lambda x: F.size(x["ids"]))
+    none = F.array().cast("array<struct<start: int, stop: int>>")
+
+    def step(spans: Column, n: Column) -> Column:
+        start = F.when(F.size(spans) == 0, 0).otherwise(F.element_at(spans, -1)["stop"])
+        return F.concat(spans, F.array(F.struct(start.alias("start"), (start + n).alias("stop"))))
+
+    return rows.select("conv_id", F.aggregate(sizes, none, step).alias("spans"))
+
+
 def pairs(turns: DataFrame) -> DataFrame:
     """Each user turn with the assistant turn that follows it in its conversation."""
     m = F.col("messages")

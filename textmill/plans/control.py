@@ -8,7 +8,7 @@ from textmill.config import LSH, PACK, SPLITS
 from textmill.functions import text as tx
 from textmill.operators import control, pack
 from textmill.plans import neardup, packing
-from textmill.plans.curation import Curation
+from textmill.plans.curation import curated
 from textmill.plans.registry import Registry
 from textmill.sources import tables
 from textmill.storage import cut
@@ -99,7 +99,7 @@ def smoke_build(spark, sf):
     WHERE (SELECT count(*) FROM documents) > 0""")
 def stage_states(spark, sf):
     """Where a curation stands whose fingerprints and near-duplicate map are made."""
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     needs = {"fingerprints": [], "near_map": ["fingerprints"], "choices": ["near_map"], "splits": ["choices"], "packing": ["splits"]}
     done = [name for name, rows in (("fingerprints", c.provisional), ("near_map", c.near_map)) if not rows.isEmpty()]
     return spark.createDataFrame(list(control.stage_states(needs, done).items()), "stage string, state string")

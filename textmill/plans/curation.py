@@ -12,7 +12,7 @@ from textmill.operators import benchmark, curate, dq, publish, quality
 from textmill.plans import neardup, oracle
 from textmill.plans.registry import Registry
 from textmill.sources import tables
-from textmill.storage import cut, read
+from textmill.storage import cut, read, stamp
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -38,6 +38,10 @@ class Curation:
     def near_map(self) -> DataFrame:
         return self._once("near_map", lambda: cut(neardup.near_map(self.spark, self.sf_dir)))
 
+    def step(self, name: str, make) -> DataFrame:
+        """A step that a later stage adds, made once."""
+        return self._once(name, make)
+
     @property
     def fp(self) -> DataFrame:
         """Fingerprints with near duplicates in one final cluster, on which all choices, splits and audits rest."""
@@ -98,6 +102,22 @@ class Curation:
         return self._once("selected", lambda: cut(curate.quota_prefix(self.eligible, self.quotas)))
 
 
+#: Curations kept in a session: the one at work, and the one before.
+KEPT = 2
+_KEPT: dict[tuple, Curation] = {}
+
+
+def curated(spark: SparkSession, sf_dir: str) -> Curation:
+    """The curation of a directory, whose stored steps all queries of the session share as long as the files it is made
+    of are as they were."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
+    if key not in _KEPT:
+        _KEPT[key] = Curation(spark, sf_dir)
+        for old in list(_KEPT)[:-KEPT]:
+            del _KEPT[old]
+    return _KEPT[key]
+
+
 _METRICS = "characters, lines, nonempty_lines, words, max_line_chars, mean_line_chars, repeated_line_fraction, whitespace_fraction, alphanumeric_fraction, url_count, code_line_fraction"
 
 
@@ -206,37 +226,37 @@ def benchmark_line_pairs(spark, sf):
 
 @query("SELECT id, kind, hits::BIGINT AS hits FROM hits")
 def denylist_hits(spark, sf):
-    return benchmark.hits(tables.documents(spark, sf), Curation(spark, sf).deny)
+    return benchmark.hits(tables.documents(spark, sf), curated(spark, sf).deny)
 
 
 @query("SELECT id, reason FROM guard WHERE reason IS NOT NULL")
 def guard_reason(spark, sf):
-    return Curation(spark, sf).guard
+    return curated(spark, sf).guard
 
 
 @query("SELECT id, reason FROM propagated")
 def contamination_propagation(spark, sf):
-    return Curation(spark, sf).propagated
+    return curated(spark, sf).propagated
 
 
 @query("SELECT content_hash, penalty::BIGINT AS penalty, canonical_id FROM exact")
 def exact_choice(spark, sf):
-    return Curation(spark, sf).exact.select("content_hash", "penalty", "canonical_id")
+    return curated(spark, sf).exact.select("content_hash", "penalty", "canonical_id")
 
 
 @query("SELECT final_cluster, canonical_id FROM final")
 def final_choice(spark, sf):
-    return Curation(spark, sf).final
+    return curated(spark, sf).final
 
 
 @query("SELECT id, canonical_id FROM mapped")
 def canonical_map(spark, sf):
-    return Curation(spark, sf).mapped
+    return curated(spark, sf).mapped
 
 
 @query("SELECT id, reason FROM residual")
 def residual_reasons(spark, sf):
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     return curate.residual(c.clean, c.exact, c.final)
 
 
@@ -246,18 +266,18 @@ def residual_reasons(spark, sf):
     UNION ALL SELECT 'canonical_not_eligible', count(*) FROM mapped WHERE id = canonical_id AND id NOT IN (SELECT id FROM eligible)
     UNION ALL SELECT 'mapped_to_rejected', count(DISTINCT canonical_id) FROM mapped WHERE canonical_id NOT IN (SELECT id FROM eligible)""")
 def canonical_self_check(spark, sf):
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     return curate.self_check(c.fp, c.reasons, cut(c.mapped))
 
 
 @query("SELECT source_group, count(*) AS documents, sum(words)::BIGINT AS tokens FROM eligible GROUP BY source_group")
 def source_groups(spark, sf):
-    return Curation(spark, sf).eligible.groupBy("source_group").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("tokens"))
+    return curated(spark, sf).eligible.groupBy("source_group").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("tokens"))
 
 
 @query("SELECT DISTINCT source_group, split FROM eligible")
 def split_assignment(spark, sf):
-    return Curation(spark, sf).eligible.select("source_group", "split").distinct()
+    return curated(spark, sf).eligible.select("source_group", "split").distinct()
 
 
 @query("SELECT id, selection_rank FROM fp")
@@ -267,7 +287,7 @@ def selection_rank(spark, sf):
 
 @query("SELECT id, split, category, selected_tokens FROM selected")
 def quota_prefix(spark, sf):
-    return Curation(spark, sf).selected
+    return curated(spark, sf).selected
 
 
 @query("""SELECT r.split, r.category, any_value(q.target)::BIGINT AS target, coalesce(sum(s.selected_tokens), 0)::BIGINT AS tokens, count(s.id) AS documents,
@@ -277,7 +297,7 @@ def quota_prefix(spark, sf):
     FROM ranked r JOIN quotas q ON q.split = r.split AND q.category = r.category LEFT JOIN selected s ON s.id = r.id GROUP BY r.split, r.category""")
 def quota_proof(spark, sf):
     """What makes a selection right, cell by cell: it fills the target, is a prefix by rank, and cuts its last document alone."""
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     return curate.quota_proof(c.eligible, c.quotas, c.selected)
 
 
@@ -289,7 +309,7 @@ _DECISIONS = """SELECT f.id, f.bucket, f.archive, CASE WHEN s.id IS NOT NULL THE
 
 @query(_DECISIONS)
 def decisions(spark, sf):
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     return curate.decisions(c.fp, c.reasons, c.mapped, c.eligible, c.selected)
 
 
@@ -309,13 +329,13 @@ def decision_violations(spark, sf):
 
 @query("SELECT bucket, split, count(*) AS documents, sum(words)::BIGINT AS tokens, 0::BIGINT AS invalid_tokens FROM eligible GROUP BY bucket, split")
 def eligible_supply(spark, sf):
-    return publish.supply(Curation(spark, sf).eligible)
+    return publish.supply(curated(spark, sf).eligible)
 
 
 @query("""SELECT split, category, bucket, count(*) AS documents, sum(words)::BIGINT AS tokens, grouping(split, category, bucket)::INTEGER AS level
     FROM eligible GROUP BY GROUPING SETS ((split), (category), (bucket), (split, category), (split, bucket), ())""")
 def supply_grouping_sets(spark, sf):
-    return publish.grouping_sets(Curation(spark, sf).eligible)
+    return publish.grouping_sets(curated(spark, sf).eligible)
 
 
 @query("SELECT bucket, count(*) AS documents, sum(words)::BIGINT AS tokens FROM fp GROUP BY bucket")
@@ -325,13 +345,13 @@ def raw_totals(spark, sf):
 
 @query("SELECT bucket, count(*) AS documents, sum(words)::BIGINT AS tokens FROM fp WHERE id IN (SELECT id FROM reasons) GROUP BY bucket")
 def rejected_totals(spark, sf):
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     return publish.rejected_totals(c.fp, c.reasons)
 
 
 @query("SELECT reason, count(*) AS associations, sum(words)::BIGINT AS tokens, 0::BIGINT AS orphans FROM (SELECT DISTINCT * FROM reasons) r JOIN fp ON fp.id = r.id GROUP BY reason")
 def reason_totals(spark, sf):
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     return publish.reason_totals(c.fp, c.reasons)
 
 
@@ -341,7 +361,7 @@ def reason_totals(spark, sf):
     0::BIGINT AS documents_delta, 0::BIGINT AS tokens_delta, true AS reconciled
     FROM (SELECT bucket, words, id NOT IN (SELECT id FROM reasons) AS ok FROM fp) GROUP BY bucket""")
 def raw_reconciliation(spark, sf):
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     return publish.reconciliation(publish.raw_totals(c.fp), publish.raw_totals(c.eligible), publish.rejected_totals(c.fp, c.reasons))
 
 
@@ -351,13 +371,13 @@ def raw_reconciliation(spark, sf):
     UNION ALL SELECT 'source_group', count(*), sum(CASE WHEN s > 1 THEN 1 ELSE 0 END)::BIGINT, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT
         FROM (SELECT count(DISTINCT split) AS s, count(*) AS n FROM eligible GROUP BY source_group)""")
 def leakage_audit(spark, sf):
-    return publish.leakage(Curation(spark, sf).eligible)
+    return publish.leakage(curated(spark, sf).eligible)
 
 
 @query("""SELECT archive, bit_or(CASE split WHEN 'train' THEN 1 WHEN 'validation' THEN 2 ELSE 4 END)::INTEGER AS mask,
     count(DISTINCT split) > 1 AS collision FROM eligible GROUP BY archive""")
 def split_mask_collisions(spark, sf):
-    return publish.split_masks(Curation(spark, sf).eligible, "archive")
+    return publish.split_masks(curated(spark, sf).eligible, "archive")
 
 
 @query("""SELECT t.archive, t.documents, t.kept, b.bits FROM
@@ -366,14 +386,14 @@ def split_mask_collisions(spark, sf):
         SELECT f.archive, f.manifest_index // 8 AS byte, sum(CASE WHEN e.id IS NULL THEN 0 ELSE (1 << (f.manifest_index % 8)::INTEGER) END)::INTEGER AS v
         FROM fp f LEFT JOIN eligible e ON e.id = f.id GROUP BY 1, 2) GROUP BY archive) b ON b.archive = t.archive""")
 def keep_bits(spark, sf):
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     return publish.keep_bits(tables.inventory(c.fp.select("id", "archive")), c.eligible)
 
 
 @query("SELECT f.archive, f.manifest_index, f.id, e.id IS NOT NULL AS keep FROM fp f LEFT JOIN eligible e ON e.id = f.id")
 def kept_by_bits(spark, sf):
     """Documents joined by place with the bitmap that says whether they stay."""
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     indexed = cut(tables.inventory(c.fp.select("id", "archive")))
     return publish.kept_by_bits(indexed, publish.keep_pieces(indexed, c.eligible))
 
@@ -385,7 +405,7 @@ def kept_by_bits(spark, sf):
     LEFT JOIN (SELECT split, category, count(*) AS documents, sum(words) AS tokens FROM eligible GROUP BY 1, 2) e ON e.split = i.split AND e.category = i.category""")
 def selected_totals(spark, sf):
     """Every cell that documents fall into, against 5,000 tokens each."""
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     inputs = cut(c.fp.select(split_of(F.col("source_group"), SPLIT).alias("split"), F.col("bucket").alias("category"), "words"))
     quotas = inputs.select("split", "category").distinct().withColumn("target", F.lit(5000).cast("long"))
     return publish.selected_totals(inputs, c.eligible, quotas)
@@ -394,7 +414,7 @@ def selected_totals(spark, sf):
 @query("""SELECT q.split, q.category, 5000::BIGINT AS target, sum(e.words)::BIGINT AS tokens, greatest(5000 - sum(e.words), 0)::BIGINT AS shortfall,
     greatest(sum(e.words) - 5000, 0)::BIGINT AS surplus FROM quotas q JOIN eligible e ON e.split = q.split AND e.category = q.category GROUP BY q.split, q.category""")
 def reference_quota_gap(spark, sf):
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     seen = c.eligible.groupBy("split", "category").agg(F.sum("words").alias("tokens"))
     return publish.quota_gap(seen, c.quotas.select("split", "category", F.lit(5000).cast("long").alias("target")))
 
@@ -402,7 +422,7 @@ def reference_quota_gap(spark, sf):
 @query("SELECT id, reason FROM reasons WHERE id NOT IN (SELECT id FROM fp WHERE bucket <> 'en')")
 def orphan_reasons(spark, sf):
     """Reasons whose document isn't in a table of the other languages."""
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     return dq.orphans(c.reasons, c.fp.where("bucket <> 'en'"), "id")
 
 
@@ -443,7 +463,7 @@ def keyset_page(spark, sf):
 @query("SELECT id, final_cluster FROM mappedfp")
 def near_map_applied(spark, sf):
     """The near-duplicate map laid over the provisional clusters."""
-    return Curation(spark, sf).fp.select("id", "final_cluster")
+    return curated(spark, sf).fp.select("id", "final_cluster")
 
 
 @query("""SELECT 'missing' AS state, count(*) AS documents FROM fp WHERE bucket = 'fr'
@@ -453,7 +473,7 @@ def near_map_applied(spark, sf):
 def referential_audit(spark, sf):
     """What hangs loose between tables, here with planted faults: a map without French documents and with unknown German
     ones, reasons against a table without Spanish documents, and groups of which no document is eligible."""
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     ids = c.fp.select(F.when(F.col("bucket") == "de", -1 - F.col("id")).otherwise(F.col("id")).alias("id"), "bucket").where("bucket != 'fr'")
     covered = dq.coverage(c.fp.where("bucket != 'de'"), ids, "id").groupBy("state").agg(F.count(F.lit(1)).alias("documents"))
     loose = dq.orphans(c.reasons, c.fp.where("bucket != 'es'"), "id").agg(F.lit("orphan_reason").alias("state"), F.count(F.lit(1)).alias("documents"))
@@ -489,7 +509,7 @@ def missing_identity(spark, sf):
         FROM eligible e JOIN documents d ON d.doc_id = e.id)""")
 def provenance_rederived(spark, sf):
     """Groups and splits derived again from the source rows, some of which have moved on, against those that curation stored."""
-    c = Curation(spark, sf)
+    c = curated(spark, sf)
     moved = F.expr("(doc_id + if(doc_id % 50 = 0, 10, 0)) div 10").cast("string")
     again = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.concat(F.lit("english-source\0"), "source", F.lit("/"), moved), 256).alias("g"))
     rows = c.eligible.join(again, "id")

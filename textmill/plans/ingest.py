@@ -53,9 +53,9 @@ _SCORE = "(doc_id * 37 % 100) / 100.0::DOUBLE"
     WHEN len(regexp_extract_all(text, {quoted(tx.WORD)})) = 0 THEN 'not_english' END AS skip
     FROM (SELECT doc_id AS id, coalesce(text, '') AS text, lang, {_SCORE} AS score FROM documents)""")
 def english_admission(spark, sf):
-    from textmill.plans.curation import Curation
+    from textmill.plans.curation import curated
 
-    hit = Curation(spark, sf).guard.select("id", F.lit(True).alias("hit"))
+    hit = curated(spark, sf).guard.select("id", F.lit(True).alias("hit"))
     docs = tables.documents(spark, sf).join(hit, "id", "left")
     url = F.when(F.col("id") % 17 == 0, "https://x.example/HumanEval/1").otherwise("https://x.example/1")
     score = (F.col("id") * 37 % 100) / F.lit(100.0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textmill.config import LSH
 from textmill.functions import text as tx
 from textmill.functions.identity import sha
-from textmill.operators import neardup
+from textmill.operators import calibrate, neardup
 from textmill.plans.registry import Registry
 from textmill.sources import tables
 from textmill.storage import cut
@@ -145,20 +145,6 @@ def wilson_bounds(spark, sf):
 
 @query()
 def perturbation_recall(spark, sf):
-    """By kind of change and Jaccard bin: how many changed copies share a band with their original, with bounds."""
-    base = tables.documents(spark, sf).select("id", tx.words(tx.normalized(F.col("text"))).alias("w")).where("size(w) >= 40")
-    amounts = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("step")
-    rows = base.select("id", "w", amounts).withColumn("amount", F.greatest(F.lit(1), F.floor(F.size("w") * F.col("step") / 40)).cast("int"))
-    made = None
-    for kind in ("truncate", "append", "replace"):
-        changed = rows.select("id", "step", F.lit(kind).alias("kind"), F.array_join("w", " ").alias("old"), F.array_join(neardup.perturbed(F.col("w"), kind, F.col("amount")), " ").alias("new"))
-        made = changed if made is None else made.unionByName(changed)
-    old, new = (tx.shingles(F.col(c), LSH.width) for c in ("old", "new"))
-    made = cut(made.select("kind", "old", "new", F.array_distinct(old).alias("a"), F.array_distinct(new).alias("b")))
-    joint = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
-    # a key's seed tells its band, so a shared key is a shared band
-    hit = F.arrays_overlap(neardup.bands(tx.words(F.col("old")), LSH), neardup.bands(tx.words(F.col("new")), LSH))
-    rows = made.select("kind", F.floor(joint * 20).cast("int").alias("bin"), hit.alias("hit"))
-    counted = rows.groupBy("kind", "bin").agg(F.sum(F.col("hit").cast("int")).alias("hits"), F.count(F.lit(1)).alias("trials"))
-    bounds = neardup.wilson(F.col("hits"), F.col("trials"), Z)
-    return counted.select("kind", "bin", "hits", "trials", *(c.alias(k) for k, c in bounds.items()))
+    """By kind of change and bin of similarity, over all documents of 96 words or more, whole: how many changed copies share
+    a band with their original, with bounds and the verdict; controls that share nothing."""
+    return calibrate.report(tables.documents(spark, sf).select(tx.words(tx.normalized(F.col("text"))).alias("w")), LSH, Z)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.config import PACK
 from textmill.functions import text as tx
 from textmill.operators import pack
-from textmill.plans.curation import Curation
+from textmill.plans.curation import curated
 from textmill.plans.registry import Registry
 from textmill.sources import tables
 from textmill.storage import cut
@@ -22,11 +22,17 @@ SEED = "textmill-order"
 
 def index(spark, sf) -> DataFrame:
     """Document index with tokens: every eligible document's place in its split and language's stream."""
-    c = Curation(spark, sf)
-    ids = tables.documents(spark, sf).select("id", pack.token_ids(F.col("text"), PACK.vocabulary).alias("tokens"))
-    docs = c.eligible.select("id", "split", F.col("category").alias("domain"), "archive").join(ids, "id").withColumn("n_tokens", F.size("tokens").cast("long"))
+    c = curated(spark, sf)
+    return c.step("index", lambda: _index(c, spark, sf))
+
+
+def _index(c, spark, sf) -> DataFrame:
+    # only eligible texts are cut into tokens
+    kept = c.eligible.select("id", "split", F.col("category").alias("domain"), "archive")
+    texts = tables.documents(spark, sf).select("id", "text").join(kept, "id")
+    docs = cut(texts.select("id", "split", "domain", "archive", pack.token_ids(F.col("text"), PACK.vocabulary).alias("tokens")).withColumn("n_tokens", F.size("tokens").cast("long")))
     placed = pack.streams(docs.select("id", "split", "domain", "archive", "n_tokens"), ["archive", "id"])
-    return cut(placed.join(ids, "id"))
+    return cut(placed.join(docs.select("id", "tokens"), "id"))
 
 
 def rows_of(spark, sf) -> DataFrame:
@@ -134,7 +140,7 @@ def document_index_gaps(spark, sf):
     FROM (SELECT domain, n, (sum(n) OVER ())::BIGINT AS t FROM (SELECT domain, count(*) AS n FROM indexed GROUP BY domain)))""")
 def largest_remainder(spark, sf):
     """1,001 rows shared by the domains' numbers of documents."""
-    n = {r.domain: r.n for r in Curation(spark, sf).eligible.groupBy(F.col("category").alias("domain")).agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()}
+    n = {r.domain: r.n for r in curated(spark, sf).eligible.groupBy(F.col("category").alias("domain")).agg(F.count(F.lit(1)).alias("n")).orderBy("domain").collect()}
     shares = pack.largest_remainder(1001, n)
     return spark.createDataFrame([(d, n[d], shares[d]) for d in n], "domain string, n long, allotted long")
 
@@ -170,9 +176,9 @@ _ORDER_CTE = f"""SELECT (row_number() OVER (ORDER BY sha256('{SEED}:mix:' || dom
 
 def planned(spark, sf) -> tuple[DataFrame, dict[str, int]]:
     """The longest order that the weights and the supply of training rows allow, and its rows of each domain."""
-    rows = cut(train_rows(spark, sf))
+    c, rows = curated(spark, sf), cut(train_rows(spark, sf))
     shares = counts(spark, sf, rows)
-    return cut(pack.training_order(rows, shares, SEED)), shares
+    return c.step("order", lambda: cut(pack.training_order(rows, shares, SEED))), shares
 
 
 def order(spark, sf) -> DataFrame:

@@ -161,3 +161,11 @@ def write_sft(decided: DataFrame, path: str) -> list[str]:
     for name in there:
         parts[name].write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{path}/{name}")
     return there
+
+
+def append_once(rows: DataFrame, path: str, key: str) -> None:
+    """Appends rows whose key the table at the path doesn't hold yet, each key once; the same rows again add nothing."""
+    fresh = rows.dropDuplicates([key])
+    if _written(rows.sparkSession, path):
+        fresh = fresh.join(rows.sparkSession.read.parquet(path).select(key), key, "left_anti")
+    fresh.write.mode("append").parquet(path)

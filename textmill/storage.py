@@ -39,6 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, size and time of change of the files at a path: what tells whether a table is as it was."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a folder of intermediate files, wherever Spark's file systems keep it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
