@@ -3,13 +3,14 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from textmill.llm import bpe, line_dedup, mixing
 from textmill.llm.common import read
 from textmill.llm.queries import vocabulary
 
 from tests.llm.test_line_dedup import brute
-from tests.llm.test_simhash import plain_classes, plain_fingerprint
+from tests.llm.test_similar import plain_stay
 
 
 @pytest.fixture(scope="module")
@@ -35,14 +36,13 @@ def test_language(stages):
 
 def test_lines(stages):
     docs = [(r.doc_id, r.text, r.source) for r in stages[1]]
-    want = {i: t for i, t, gone in brute(docs, line_dedup.MIN_SITES) if not (gone and not t.strip())}
-    assert {r.doc_id: r.text for r in stages[2]} == want
+    assert {r.doc_id: r.text for r in stages[2]} == {i: t for i, t, _ in brute(docs, line_dedup.MIN_SITES)}
     assert all(r.n_chars == len(r.text) for r in stages[2])
 
 
 def test_near_duplicates(stages):
-    classes = plain_classes([(r.doc_id, plain_fingerprint(r.text)) for r in stages[2]])
-    assert sorted(r.doc_id for r in stages[3]) == sorted({c for _, _, c in classes})
+    """One document of each group of Jaccard 0.8 or more over five-word shingles, by all pairs."""
+    assert sorted(r.doc_id for r in stages[3]) == plain_stay([(r.doc_id, r.text) for r in stages[2]])
     assert set(stages[3]) <= set(stages[2])
 
 
@@ -62,6 +62,31 @@ def test_tokens(stages):
         assert r.ids == encoding.encode_ordinary(text[r.doc_id]) and r.n_tokens == len(r.ids) and r.round_trip
 
 
+def test_texts_are_encoded_once(spark, sf):
+    plan = corpus_pipeline.tokens(spark, read(spark, sf, "documents"), sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_an_unnamed_language_is_filled_in(spark, sf):
+    docs = read(spark, sf, "documents")
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, F.lit(None)).otherwise(F.col("lang")))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, some, sf).collect()}
+    true = {r.doc_id: r.lang for r in docs.collect()}
+    assert all(got[i] == true[i] for i in got if i % 4) and all(got.values())
+    unnamed = [i for i in got if i % 4 == 0 and len(true) > 0]
+    assert sum(got[i] == true[i] for i in unnamed) / len(unnamed) > 0.9
+
+
+def test_any_columns_pass(spark, sf):
+    """Columns named like what stages use inside keep their values through all stages but the last."""
+    names = "d p i t u v s n root set_id text_key gone size removed __removed __lang __stay_id __stay_key __mix_copy times h".split()
+    docs = read(spark, sf, "documents").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert out.where(F.concat_ws("|", *names) != F.concat_ws("|", *(F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names))).isEmpty() and not out.isEmpty()
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"] and out.count() > 0

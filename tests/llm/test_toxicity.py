@@ -118,6 +118,21 @@ def test_held_out_accuracy(spark):
     assert right > 0.95 and found > 0.6 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_training_is_bounded_by_rows_and_characters(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} " * 100) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    used = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: used.append([y for _, y in rows]))
+    toxicity.train(docs, labels)
+    toxicity.train(docs, labels, sample=10)
+    monkeypatch.setattr(toxicity, "MOST_CHARACTERS", 3000)
+    toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "MOST_CHARACTERS", 1)
+    toxicity.train(docs, labels)
+    assert [sorted(u).count(1) for u in used[:2]] == [30, 10] and sorted(used[1]).count(0) == 10
+    assert all(0 < used[2].count(y) <= 5 for y in (0, 1)) and sorted(used[3]) == [0, 1]
+
+
 def test_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 0, 1), (7, None, 1), (None, 1, 1), (99, 1, 1), (4, 0, 0)], "doc_id long, toxic int, y int")
     model = toxicity.train(edge_docs, labels)

@@ -128,3 +128,61 @@ def test_repeated_rows_and_huge_components(spark):
     assert got == {50: [(2, 2**63 - 1), (1, 256 * 256 * 3), (3, -(2**63))]}
     got = results(ann.nearest(df, F.col("vec_id") % 50 == 0, k=3))
     assert [j for j, _ in got[50]] == [2, 1, 3]
+
+
+def tight(n, dim, centres, seed=0):
+    rng = np.random.default_rng(seed)
+    at = rng.normal(size=(centres, dim))
+    x = at[rng.integers(0, centres, n)] + rng.normal(size=(n, dim)) * 0.05
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def visited(x, factor, monkeypatch):
+    """Share of the pairs that a search by the tree compares, and its recall."""
+    seen = [0]
+    search = ann.VpTree.search
+
+    def counted(self, queries, radius, visit, factor):
+        def seen_too(rows, leaf):
+            seen[0] += len(rows) * len(leaf)
+            visit(rows, leaf)
+
+        search(self, queries, radius, seen_too, factor)
+
+    monkeypatch.setattr(ann.VpTree, "search", counted)
+    ids = np.arange(len(x))
+    asked = ids[::20]
+    scores, near = ann.kernel(factor)(ids, x)(asked, x[asked], 20)
+    monkeypatch.setattr(ann.VpTree, "search", search)
+    products = x[asked] @ x.T
+    products[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-products, axis=1)[:, :20]
+    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(near.tolist(), want.tolist())])
+    return seen[0] / (len(asked) * len(x)), recall
+
+
+def test_trees_prune_where_vectors_lie_in_clusters(monkeypatch):
+    x = tight(8000, 64, 40)
+    share, recall = visited(x, 1.0, monkeypatch)
+    assert share < 0.5 and recall > 0.999
+    share, recall = visited(x, ann.FACTOR, monkeypatch)
+    assert share < 0.4 and recall >= 0.99
+
+
+def test_buckets_prune_where_lengths_differ(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8000, 64)) * rng.lognormal(0, 1.5, 8000)[:, None]
+    ids = np.arange(len(x))
+    asked = ids[::50]
+    products = [0]
+    offer = vectors.Best.offer
+
+    def counted(self, rows, own, scores):
+        products[0] += int((scores > -np.inf).sum())
+        offer(self, rows, own, scores)
+
+    monkeypatch.setattr(vectors.Best, "offer", counted)
+    scores, near = topk.kernel(ids, x)(asked, x[asked], 5)
+    whole = np.floor(256 * x[asked]) @ np.floor(256 * x).T
+    whole[np.arange(len(asked)), asked] = -np.inf
+    assert (-np.sort(-whole, axis=1)[:, :5] == scores).all() and products[0] < 0.2 * whole.size

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from textmill.llm.vectors import Best, components, search, usable
 
 LEAF = 128
-FACTOR = 1.25
+FACTOR = 4.0
 _SLACK = 1e-9
 
 

@@ -14,21 +14,28 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from textmill.llm.common import release, small_batches
 
 #: A vocabulary goes to every executor, so its file is bounded; a larger one is an error.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Longer pre-tokens aren't remembered.
 REMEMBERED_LENGTH = 64
+#: Ids that a worker gathers before it sends them back, and those of one document more.
+MOST_IDS = 1 << 20
 _LOW_BITS = 8
 _LOW = (1 << _LOW_BITS) - 1
 
@@ -165,11 +172,14 @@ class Codec:
         self.pieces = regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.names = {rank: str(rank) for rank in ranks.values()}
-        self.ids_of = _Memory(ranks).__getitem__
+        self.forget()
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.ids_of, self.pieces(text))))
 
+    def forget(self) -> None:
+        self.ids_of = _Memory(self.ranks).__getitem__
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -191,6 +201,7 @@ def _codec(key: int, ranks, pattern: str) -> Codec:
 
 def _shared(spark, path: str, pattern: str):
     ranks = load_ranks(path)
+    small_batches(spark)
     digest = hashlib.sha256(pattern.encode() + repr(len(ranks)).encode())
     for token in ranks:
         digest.update(token)
@@ -212,6 +223,17 @@ class _Rows:
         return pa.ListArray.from_arrays(whole(self.ends), whole(self.flat))
 
 
+@contextmanager
+def _task(key: int, ranks, pattern: str) -> Iterator[Codec]:
+    """The worker's codec for a task, after which what it remembers goes: the worker lives on, other stages' needs too."""
+    codec = _codec(key, ranks, pattern)
+    try:
+        yield codec
+    finally:
+        codec.forget()
+        release()
+
+
 def encoder(spark, path: str, pattern: str):
     """Function from a text column to a column of ids (array<int>)."""
     ranks, key = _shared(spark, path, pattern)
@@ -238,21 +260,34 @@ def decoder(spark, path: str, pattern: str):
     return decode
 
 
-def encoded(spark, text: Column, path: str, pattern: str) -> Column:
-    """Struct ids (array<int>), round_trip (whether these very ids decode to the text) of a text column, encoded once."""
+def encoded(spark, docs: DataFrame, keep: list[str], path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The columns `keep` of the documents with ids (array<int>), n_tokens and round_trip (whether these very ids decode to
+    the text), each text encoded once. What goes back to Spark is cut by bytes, so a worker holds little of it.
+    """
     ranks, key = _shared(spark, path, pattern)
-
-    @F.arrow_udf("ids array<int>, round_trip boolean")
-    def of(texts: pa.Array) -> pa.Array:
-        codec, rows, same = _codec(key, ranks, pattern), _Rows(), []
-        for t in texts:
-            t = t.as_py() or ""
-            ids = codec.encode(t)
-            same.append(codec.decode(ids) == t.encode("utf-8", "surrogatepass"))
-            rows.add(ids)
-        return pa.StructArray.from_arrays([rows.arrow(), pa.array(same, pa.bool_())], names=["ids", "round_trip"])
-
-    return of(text)
+    kept = docs.select(*keep)
+    made = T.StructType([*kept.schema.fields, *T._parse_datatype_string("ids array<int>, n_tokens long, round_trip boolean").fields])
+    # the text goes by place, so kept columns may have any name
+    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias(f"c{len(keep)}"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _task(key, ranks, pattern) as codec:
+            for batch in batches:
+                texts, start = batch.column(len(keep)), 0
+                while start < len(batch):
+                    found, same = _Rows(), []
+                    while start + len(same) < len(batch) and len(found.flat) < MOST_IDS:
+                        text = texts[start + len(same)].as_py() or ""
+                        ids = codec.encode(text)
+                        same.append(codec.decode(ids) == text.encode("utf-8", "surrogatepass"))
+                        found.add(ids)
+                    part = batch.slice(start, len(same))
+                    counts = np.diff(np.frombuffer(found.ends, np.int32)).astype(np.int64)
+                    columns = [*part.columns[: len(keep)], found.arrow(), pa.array(counts), pa.array(same, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, names=made.names)
+                    start += len(same)
+
+    return rows.mapInArrow(of, made)
 
 
 def digests(spark, text: Column, path: str, pattern: str) -> Column:
@@ -261,12 +296,14 @@ def digests(spark, text: Column, path: str, pattern: str) -> Column:
     kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digested(texts: pa.Array) -> pa.Array:
-        codec, rows = _codec(key, ranks, pattern), []
-        for t in texts:
-            ids = codec.encode(t.as_py() or "")
-            sha = hashlib.sha256(codec.listed(ids).encode()).hexdigest()
-            rows.append({"n_tokens": len(ids), "ids_sha256": sha, "decoded_sha256": hashlib.sha256(codec.decode(ids)).hexdigest()})
-        return pa.array(rows, kind)
+    def digested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with _task(key, ranks, pattern) as codec:
+            for texts in batches:
+                rows = []
+                for t in texts:
+                    ids = codec.encode(t.as_py() or "")
+                    sha = hashlib.sha256(codec.listed(ids).encode()).hexdigest()
+                    rows.append({"n_tokens": len(ids), "ids_sha256": sha, "decoded_sha256": hashlib.sha256(codec.decode(ids)).hexdigest()})
+                yield pa.array(rows, kind)
 
     return digested(text)

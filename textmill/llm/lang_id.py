@@ -18,14 +18,17 @@ empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.llm.common import release, small_batches
+
 WINDOW = 256
 HIDDEN = 8
 SAMPLE = 400
@@ -320,18 +323,17 @@ def predict(text: Column, model: Model | None) -> Column:
     if model is None:
         return unknown
 
-    @F.arrow_udf(kind)
-    def of(texts: pa.Array) -> pa.Array:
-        texts = texts.cast(pa.large_string()).fill_null("")
-        _, offsets, data = texts.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-        found = []
-        at = 0
+    def some(texts: pa.Array) -> pa.Array:
+        found, at = [], 0
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         while at < len(texts):  # a few MB at once
-            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20), "right")) - 1)
-            part = offsets[at : stop + 1]
-            found.append(model.probabilities(data[part[0] : part[-1]], part - part[0]))
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + (4 << 20), "right")) - 1)
+            part = texts.slice(at, stop - at).cast(pa.large_string()).fill_null("")
+            _, offsets, data = part.buffers()
+            offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+            data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+            found.append(model.probabilities(data, offsets - offsets[0]))
             at = stop
         q = np.concatenate(found) if found else np.zeros((0, len(model.langs)))
         best = q.argmax(1)
@@ -339,6 +341,15 @@ def predict(text: Column, model: Model | None) -> Column:
         langs = pa.array(model.langs, pa.string()).take(pa.array(best))
         return pa.StructArray.from_arrays([langs, pa.array(score, pa.float64())], names=["lang_pred", "score"])
 
-    # the function runs for every row, whatever stands around it; without a letter it gets nothing to read
+    @F.arrow_udf(kind)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            yield from map(some, batches)
+        finally:
+            release()
+
+    small_batches(SparkSession.active())
+    # the function runs for every row, whatever stands around it; without a letter it gets nothing to read. It is marked
+    # so that a filter on its result can't run it a second time
     letters = F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
-    return F.when(letters, of(F.when(letters, text))).otherwise(unknown)
+    return F.when(letters, of.asNondeterministic()(F.when(letters, text))).otherwise(unknown)

@@ -152,11 +152,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
     """The documents as the mix takes them: all columns, a row for each time that a document is taken."""
     _, limits = plan(docs, seed=seed, **options)
-    limits = limits.select(
-        F.col("source").alias("__mix_source"), F.col("whole").alias("__mix_whole"), F.col("limit").alias("__mix_limit")
-    )
+    limits = limits.select(F.col("source").alias("of"), "whole", "limit")
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    extra = F.when(document_hash(docs[id_col], seed) < F.col("__mix_limit"), 1).otherwise(0)
-    times = (F.col("__mix_whole") + extra).cast("int")
-    taken = docs.join(limits, docs[source_col].eqNullSafe(F.col("__mix_source"))).where(times > 0)
-    return taken.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*(docs[c] for c in docs.columns))
+    # the documents travel in a struct, so their columns may have any name
+    rows = docs.select(F.struct("*").alias("d"), docs[source_col].alias("from"), document_hash(docs[id_col], seed).alias("h"))
+    times = (F.col("whole") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)).cast("int")
+    taken = rows.join(limits, F.col("from").eqNullSafe(F.col("of"))).select("d", times.alias("times")).where("times > 0")
+    return taken.select("d", F.explode(F.sequence(F.lit(1), "times"))).select("d.*")

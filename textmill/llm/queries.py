@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textmill.llm import ann, bpe, lang_id, line_dedup, mixing, secrets, simhash, topk, toxicity, url_filter
-from textmill.llm.common import read
+from textmill.llm.common import read, spread
 
 URL_RULES = (
     ("allow", "org", "/"),
@@ -17,6 +17,11 @@ URL_RULES = (
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def documents(spark, sf_dir):
+    """The documents, over all cores where their files give fewer tasks than that: texts cost the most here."""
+    return spread(read(spark, sf_dir, "documents"), "doc_id")
+
+
 def op1_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     kept = line_dedup.dedup_lines(docs.withColumn("n_lines", F.size(F.split("text", "\n"))))
@@ -40,7 +45,7 @@ def remainder(modulus: int, doc_id=None):
 
 
 def op4_toxicity(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), usable=remainder(5) != 0)
     held = F.coalesce(remainder(5) == 0, F.lit(False))
     scored = docs.select("doc_id", held.alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
@@ -48,7 +53,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def op5_simhash(spark, sf_dir):
-    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
@@ -60,7 +65,7 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op6_bpe(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", bpe.digests(spark, F.col("text"), *vocabulary()).alias("d")).select("doc_id", "d.*")
 
 
@@ -74,7 +79,7 @@ def op8_mixing(spark, sf_dir):
 
 
 def op9_lang_id(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = lang_id.train(docs, usable=lambda i: remainder(4, i) != 2)
     held = F.coalesce(remainder(4) == 2, F.lit(False))
     return docs.select("doc_id", held.alias("held_out"), lang_id.predict(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
@@ -82,7 +87,7 @@ def op9_lang_id(spark, sf_dir):
 
 def op10_secrets(spark, sf_dir):
     forest = secrets.train(secrets.labelled_findings(spark))
-    found = secrets.scan(read(spark, sf_dir, "documents"), forest)
+    found = secrets.scan(documents(spark, sf_dir), forest)
     return found.select("doc_id", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import cut
+from textmill.llm.common import cut, small_batches
 
 WIDTH = 3
 DISTANCE = 2
@@ -154,6 +154,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
     text_key is a hash of the text, which with the id names a row unless the row is repeated.
     """
+    small_batches(docs.sparkSession)
     text = F.col(text_col)
     marked = cut(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), fingerprints(text, width).alias("fp")))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -176,10 +177,9 @@ def least_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     """The documents, all columns, with the row of least id left of each class in `found` (doc_id, text_key, root)."""
     # a null id comes after all others
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("t"))).alias("f")
-    stay = cut(found.groupBy("root").agg(first).select(F.col("f.i").alias("__stay_id"), F.col("f.t").alias("__stay_key")))
-    key = F.xxhash64(docs[text_col])
-    kept = docs.join(stay, docs[id_col].eqNullSafe(F.col("__stay_id")) & (key == F.col("__stay_key")), "left_semi")
+    stay = cut(found.groupBy("root").agg(first).select(F.col("f.i").alias("i"), F.col("f.t").alias("t")))
+    # the documents travel in a struct, so their columns may have any name
+    rows = docs.select(F.struct("*").alias("d"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("t")), "left_semi")
     unique = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    if unique:
-        return kept
-    return kept.withColumn("__stay_key", key).dropDuplicates([id_col, "__stay_key"]).select(*docs.columns)
+    return (kept if unique else kept.dropDuplicates(["id", "key"])).select("d.*")

@@ -5,8 +5,8 @@ pairs of neighbours and pairs with one word between, hashed to `BITS` bits. Ever
 rate and an L1 threshold, so most weights are exactly zero and the model is a short list that travels with the task.
 Whole texts are scored, in NumPy over the bytes of a batch.
 
-Training uses at most `SAMPLE` labelled documents of either class, chosen by a hash of their id; that bound is the only
-thing here that doesn't grow with the data.
+Training uses at most `SAMPLE` labelled documents of either class, chosen by a hash of their id, whole texts, and no more
+of them than hold `MOST_CHARACTERS`; that bound is the only thing here that doesn't grow with the data.
 
 Defined cases: null and wordless texts score by the bias alone; a document labelled more than once counts as 1 if any
 label is 1; null labels and null ids teach nothing; without labels every score is 0.5; repeated rows score alike; an
@@ -19,11 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.llm.common import small_batches
+
 BITS = 20
 SAMPLE = 4000
+#: Characters of either class that are learnt from; it bounds what the driver holds, and at least one document is.
+MOST_CHARACTERS = 100_000_000
 #: Bytes hashed at once; words go on from one piece to the next.
 PIECE = 1 << 16
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
@@ -194,20 +198,27 @@ def train(
     share = F.when(F.col("y") == 1, sample / max(counts.get(1, 0), sample)).otherwise(sample / max(counts.get(0, 0), sample))
     picked = known.where(draw < share * (1 << 30)).withColumn("draw", draw)
     texts = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)
-    rows = texts.select(id_col, "y", "draw", feature_column(F.col(text_col)).alias("features")).toArrow()
+    # which rows are learnt from: the first of either class by draw, as far as the bounds on rows and characters go
+    last, seen, size = {}, {0: 0, 1: 0}, {0: 0, 1: 0}
+    sized = texts.select("draw", F.col(id_col).alias("i"), "y", F.coalesce(F.length(text_col), F.lit(0)).alias("n")).toArrow().to_pylist()
+    for r in sorted(sized, key=lambda r: (r["draw"], r["i"], r["n"])):
+        y = r["y"]
+        seen[y], size[y] = seen[y] + 1, size[y] + r["n"]
+        if seen[y] <= sample and (seen[y] == 1 or size[y] <= MOST_CHARACTERS):
+            last[y] = r["draw"]
+        else:
+            size[y] = MOST_CHARACTERS + 1  # none after the first left out
+    near = F.lit(False)
+    for y, d in last.items():
+        near |= (F.col("y") == y) & (F.col("draw") <= d)
+    rows = texts.where(near).select(id_col, "y", "draw", feature_column(F.col(text_col)).alias("features")).toArrow()
     order = np.lexsort((np.asarray(rows[id_col]), np.asarray(rows["draw"])))
-    found, seen = [], {}
-    for k in order.tolist():
-        i, y = rows[id_col][k].as_py(), rows["y"][k].as_py()
-        seen[y] = seen.get(y, 0) + 1
-        if seen[y] <= sample:
-            found.append((rows["features"][k].values.to_numpy(), y))
-        del i
-    return fit(found)
+    return fit([(rows["features"][k].values.to_numpy(), rows["y"][k].as_py()) for k in order.tolist()])
 
 
 def score(text: Column, model: Model) -> Column:
     """Score (double) of a text column: the probability of label 1."""
+    small_batches(SparkSession.active())
     held: list[np.ndarray] = []
 
     @F.arrow_udf("double")
