@@ -29,6 +29,8 @@ DISTANCE = 2
 BLOCKS = 4
 SMALL = 64
 SEED = 42
+#: Documents that go are rows of 16 bytes; so many are broadcast, and no text is shuffled; more are joined by shuffle.
+BROADCAST_GONE = 1_000_000
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -177,9 +179,13 @@ def least_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     """The documents, all columns, with the row of least id left of each class in `found` (doc_id, text_key, root)."""
     # a null id comes after all others
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_key").alias("t"))).alias("f")
-    stay = cut(found.groupBy("root").agg(first).select(F.col("f.i").alias("i"), F.col("f.t").alias("t")))
+    stay = found.groupBy("root").agg(first).select("root", F.col("f.i").alias("i"), F.col("f.t").alias("t"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("t")))
+    gone = cut(found.join(stay, "root").where(other).select(F.col("doc_id").alias("i"), F.col("text_key").alias("t")).distinct())
+    if gone.limit(BROADCAST_GONE + 1).count() <= BROADCAST_GONE:
+        gone = F.broadcast(gone)
     # the documents travel in a struct, so their columns may have any name
     rows = docs.select(F.struct("*").alias("d"), docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"))
-    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("t")), "left_semi")
+    kept = rows.join(gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("t")), "left_anti")
     unique = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     return (kept if unique else kept.dropDuplicates(["id", "key"])).select("d.*")
