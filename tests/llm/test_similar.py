@@ -4,7 +4,7 @@ from itertools import combinations
 import corpus_pipeline
 import numpy as np
 
-from textmill.llm import similar
+from textmill.llm import similar, simhash
 from textmill.llm.common import read
 
 from tests.llm.test_simhash import simhash_words
@@ -71,3 +71,32 @@ def test_sets(spark):
     df = spark.createDataFrame([(None,), ("",), ("a b",), ("a b c d e a b c d e a b c d e",)], "text string")
     sets = [r.s for r in df.select(similar.shingle_sets(df.text).alias("s")).collect()]
     assert sets[0] == sets[1] == [] and len(sets[2]) == 1 and len(sets[3]) == 5 and sets[3] == np.unique(sets[3]).tolist()
+
+
+def test_simhash_finds_candidates(spark):
+    """Texts a word apart get fingerprints within the operator's distance, and the stage takes them from there."""
+    base = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["other"]), " ".join(f"x{i}" for i in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    none = spark.sparkContext.broadcast(np.empty(0, np.int64))
+    one = df.select(similar._described(df.text, none, similar.WIDTH).alias("d")).select("d.*").cache()
+    prints = [r.fp for r in one.collect()]
+    assert prints == [simhash.fingerprint(t, similar.WIDTH) for t in texts]
+    ids = [r.set_id for r in one.collect()]
+    assert [tuple(r) for r in similar.simhash_pairs(one).collect()] == [tuple(sorted(ids[:2]))]
+
+
+def test_parities_lose_no_pair(spark):
+    """Unlike parities are never more than what the sets differ in, and dismiss sets with little in common."""
+    rng = np.random.default_rng(5)
+    rows, exact = [], []
+    for n in (1, 4, 9, 36, 400, 3000):
+        for share in (0.0, 0.3, 0.7, 0.8, 0.9, 1.0):
+            both, own = rng.integers(-(2**63), 2**63 - 1, (2, n))
+            k = round(share * n)
+            a, b = np.unique(both), np.unique(np.concatenate([both[:k], own[: (n - k) // 2]]))
+            rows.append((len(a), len(b), similar.parities(a).tolist(), similar.parities(b).tolist()))
+            exact.append(5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)))
+    df = spark.createDataFrame(rows, "un int, vn int, uq array<long>, vq array<long>").coalesce(1)
+    passed = [r.x for r in df.select(similar.near_enough("u", "v").alias("x")).collect()]
+    assert all(p for p, e in zip(passed, exact) if e) and not all(passed)

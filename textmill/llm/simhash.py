@@ -51,7 +51,11 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """64 bits, each set if it is set in over half of the shingle hashes; as a signed integer."""
-    hashes = shingle_hashes(text, width)
+    return fingerprint_of(shingle_hashes(text, width))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text by its shingle hashes, repeats included."""
     counts = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 255):  # so many fit the sums of 8 bits
         part = hashes[start : start + 255].astype("<u8").view(np.uint8).reshape(-1, 8)

@@ -1,7 +1,9 @@
-"""Near duplicates by exact Jaccard similarity of word shingles, `WIDTH` words and `JACCARD` or more.
+"""Near duplicates by SimHash, then by exact Jaccard similarity of word shingles, `WIDTH` words and `JACCARD` or more.
 
-A fingerprint of 64 bits can't bound this: at similarity 0.8 about ten bits differ, with a wide spread, so any Hamming
-bound short of nearly all pairs loses some. Pairs are found by prefixes instead: in any fixed order of all shingles, two
+First SimHash: the operator's fingerprints of the shingles, its blocks, Hamming distance and components make classes of
+texts, and each is held against one of its class. A fingerprint of 64 bits can't bound the similarity, though: at 0.8
+about ten bits differ, with a wide spread, so any Hamming bound short of nearly all pairs loses some. What lies beyond
+the operator's bound is found by prefixes: in any fixed order of all shingles, two
 sets at similarity t share one among the first n - ceil(t n) + 1 of either, and the first that they share leaves enough
 behind it. The order is by hash with the shingles of crowded prefixes last, so chance meetings are few.
 
@@ -9,7 +11,9 @@ Sets that meet at a shingle are not all paired up. First each is held against th
 shingles, which joins a group of near copies whatever its size by about as many pairs as it has members; then pairs are made only of sets that those links
 leave in different components. Every pair at the threshold is so found or joined already: components are exact.
 
-A candidate passes if two sketches of counts allow the similarity, and then its whole sets are compared, which are made
+Candidates are dismissed where they meet if the parities of their shingles in `PARITIES` classes differ too often: that
+Hamming distance is at most what the sets differ in, so it loses none. Of the rest, a
+candidate passes if two sketches of counts allow the similarity, and then its whole sets are compared, which are made
 anew from the texts of those that need it; neither texts nor sets of all documents travel. Equal sets stand for all
 their documents, so copies cost nothing.
 
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm.common import cut, release, small_batches
-from textmill.llm.simhash import components, shingle_hashes
+from textmill.llm.simhash import components, fingerprint_of, near_edges, shingle_hashes
 
 WIDTH = 5
 #: Numerator and denominator of the least similarity.
@@ -40,6 +44,8 @@ MOST_CROWDED = 1_000_000
 BROADCAST_SETS = 1_000_000
 #: Counts of a sketch, each of a byte; a set with more in one of them has no sketch and passes.
 COUNTS = 128
+#: Parities of a set, eight longs.
+PARITIES = 512
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -81,22 +87,39 @@ def sketch(s: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if len(s) and counts.max() < 256 else b""
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls into each of `PARITIES` classes, as longs; other classes than a sketch's."""
+    odd = np.bincount(((s >> 7) % PARITIES).astype(np.int64), minlength=PARITIES) % 2 == 1
+    return np.packbits(odd).view(np.int64)
+
+
+def near_enough(a: str, b: str) -> Column:
+    """Whether the parities allow the similarity: a class of unlike parity holds a shingle of one set alone."""
+    t, d = JACCARD
+    unlike = sum(F.bit_count(F.get(f"{a}q", F.lit(i)).bitwiseXOR(F.get(f"{b}q", F.lit(i)))) for i in range(PARITIES // 64))
+    return unlike.cast("long") * (t + d) <= (F.col(f"{a}n") + F.col(f"{b}n")).cast("long") * (d - t)
+
+
 def _described(text: Column, last, width: int) -> Column:
-    """Struct set_id, n, p (prefix) and sketch of a text column; `last` is a broadcast array."""
+    """Struct set_id, n, p (prefix), sketch, q (parities) and fp (fingerprint) of a text column; `last` is a broadcast array."""
 
-    @F.arrow_udf("set_id long, n int, p array<long>, sketch binary")
+    @F.arrow_udf("set_id long, n int, p array<long>, sketch binary, q array<long>, fp long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             for texts in batches:
-                ids, sizes, heads, sketches = [], [], [], []
+                ids, sizes, heads, sketches, odd, prints = [], [], [], [], [], []
                 for t in texts:
-                    s = shingle_set(t.as_py(), width)
+                    hashes = shingle_hashes(t.as_py(), width)
+                    s = np.unique(hashes.view(np.int64))
                     ids.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                     sizes.append(len(s))
                     heads.append(prefix(s, last.value))
                     sketches.append(sketch(s))
+                    odd.append(parities(s))
+                    prints.append(fingerprint_of(hashes))
                 columns = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(heads), pa.array(sketches, pa.binary())]
-                yield pa.StructArray.from_arrays(columns, names=["set_id", "n", "p", "sketch"])
+                columns += [_lists(odd), pa.array(prints, pa.int64())]
+                yield pa.StructArray.from_arrays(columns, names=["set_id", "n", "p", "sketch", "q", "fp"])
         finally:
             release()
 
@@ -165,12 +188,31 @@ def _able(a: str, b: str) -> Column:
     return _enough(left, F.col(f"{a}n"), F.col(f"{b}n"))
 
 
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def simhash_pairs(one: DataFrame) -> DataFrame:
+    """Candidates (u, v) of SimHash: each set with one of its class, the least; `one` has set_id, n, q, fp.
+
+    Classes are the components of the fingerprints within the operator's Hamming distance.
+    """
+    linked = components(near_edges(one.select("fp").distinct()))
+    rooted = one.join(linked, F.col("fp") == F.col("node"), "left").select("set_id", "n", "q", F.coalesce("root", "fp").alias("root"))
+    least = F.min(F.struct("set_id", "n", "q")).alias("c")
+    hubs = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("m"), least).where("m > 1")
+    hubs = hubs.select("root", F.col("c.set_id").alias("u"), F.col("c.n").alias("un"), F.col("c.q").alias("uq"))
+    rest = rooted.select("root", *(F.col(c).alias(x) for c, x in (("set_id", "v"), ("n", "vn"), ("q", "vq"))))
+    return hubs.join(rest, "root").where((F.col("u") != F.col("v")) & near_enough("u", "v")).select(*_ordered("u", "v"))
+
+
 def similar_components(sets: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(node, root) of the sets that a chain of pairs at the threshold links; `sets` has set_id, text_key, n, p, sketch."""
+    """(node, root) of the sets that a chain of pairs at the threshold links; `sets` has set_id, text_key, n, p, sketch, q, fp."""
     sets = sets.where("n > 0")
-    one = sets.groupBy("set_id").agg(F.first(F.struct("n", "p")).alias("f"))
+    one = sets.groupBy("set_id").agg(F.first(F.struct("n", "p", "q", "fp")).alias("f")).select("set_id", "f.*")
+    points = cut(one.select("set_id", "n", "q", "fp"))
     # dealt once by shingle, for the counts and for the join with them
-    rows = one.select("set_id", F.col("f.n").alias("n"), F.posexplode("f.p").alias("i", "s")).repartition("s")
+    rows = one.select("set_id", "n", F.posexplode("p").alias("i", "s")).repartition("s")
     # the one with the fewest rare shingles before it: of near copies the text that the others were changed from, if it is there
     met = rows.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("i", "set_id", "n")).alias("first")).where("m > 1")
     # only shingles where sets meet are kept, a small part
@@ -178,15 +220,16 @@ def similar_components(sets: DataFrame, texts: DataFrame, width: int = WIDTH) ->
     stars = meeting.where("set_id != first.set_id").select(
         *(F.col(f"first.{c}").alias(x) for c, x in (("set_id", "u"), ("n", "un"), ("i", "ui"))), F.col("set_id").alias("v"), F.col("n").alias("vn"), F.col("i").alias("vi")
     )
-    pairs = stars.where(_able("u", "v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = simhash_pairs(points).unionByName(stars.where(_able("u", "v")).select(*_ordered("u", "v"))).distinct()
     edges = cut(_verified(pairs, sets, texts, width))
     rooted = components(edges).withColumnRenamed("node", "set_id")
 
     placed = meeting.drop("first").join(rooted, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     mixed = placed.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("s")
-    rest = cut(placed.join(mixed, "s", "left_semi"))
-    a, b = (rest.select("s", F.col("set_id").alias(x), F.col("n").alias(f"{x}n"), F.col("i").alias(f"{x}i"), F.col("root").alias(f"{x}r")) for x in "uv")
-    pairs = a.join(b, "s").where((F.col("u") < F.col("v")) & (F.col("ur") != F.col("vr")) & _able("u", "v")).select("u", "v").distinct()
+    rest = cut(placed.join(mixed, "s", "left_semi").join(points.select("set_id", "q"), "set_id"))
+    a, b = (rest.select("s", F.col("set_id").alias(x), F.col("n").alias(f"{x}n"), F.col("i").alias(f"{x}i"), F.col("q").alias(f"{x}q"), F.col("root").alias(f"{x}r")) for x in "uv")
+    apart = (F.col("u") < F.col("v")) & (F.col("ur") != F.col("vr"))
+    pairs = a.join(b, "s").where(apart & _able("u", "v") & near_enough("u", "v")).select("u", "v").distinct()
     return components(edges.unionByName(_verified(pairs, sets, texts, width)))
 
 
