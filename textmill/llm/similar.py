@@ -238,7 +238,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     small_batches(docs.sparkSession)
     text = F.col(text_col)
     crowded = docs.select(F.explode(_heads(text, width)).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CROWDED)
-    last = crowded.orderBy(F.desc("m"), "s").limit(MOST_CROWDED).select("s").toArrow()["s"].to_numpy()
+    # stored first, so that the counts' shuffle files, of every prefix, go before the next step
+    last = cut(crowded.orderBy(F.desc("m"), "s").limit(MOST_CROWDED).select("s")).toArrow()["s"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(last))
     made = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), _described(text, shared, width).alias("d"))
     marked = cut(made.select("doc_id", "text_key", "d.*"))
