@@ -85,3 +85,45 @@ def test_vocabulary_size_is_checked(tmp_path, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_VOCABULARY_BYTES", 100)
     with pytest.raises(ValueError):
         bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def plain_merges(piece, ranks):
+    """Ids by merging the leftmost pair of lowest rank, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_joint_queue_on_any_ranks():
+    """Ranks in random order, so merges often make pairs of lower rank; pre-tokens don't touch one another."""
+    rng = random.Random(9)
+    for _ in range(60):
+        tokens = {bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 6))) for _ in range(60)} | {b"a", b"b", b"c"}
+        ranks = {t: i for i, t in enumerate(rng.sample(sorted(tokens), len(tokens)))}
+        queue = bpe.RankQueue(len(ranks))
+        pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 50))]
+        got = bpe.encode_pieces(pieces, ranks, queue, bpe.Bytes(ranks))
+        assert got == [plain_merges(x, ranks) for x in pieces]
+        assert not queue.top and not any(queue.words) and queue.buckets == [None] * len(ranks)
+    assert bpe.encode_pieces([], ranks, queue, bpe.Bytes(ranks)) == []
+
+
+def test_new_pre_tokens_share_a_queue(monkeypatch, reference):
+    """Those of several texts are computed in one call; only long ones are computed alone."""
+    path, pattern = vocabulary()
+    codec, calls, together = bpe.Codec(bpe.load_ranks(path), pattern), [], bpe.encode_pieces
+    monkeypatch.setattr(bpe, "encode_piece", None)
+    monkeypatch.setattr(bpe, "encode_pieces", lambda pieces, *a: calls.append(len(pieces)) or together(pieces, *a))
+    texts = [" ".join(f"qzx{chr(97 + i % 26)}{chr(97 + j)}vw" for j in range(20)) for i in range(20)] + ["", "\u00e9\u00e8x"]
+    assert list(codec.encode_all(texts)) == [reference.encode_ordinary(t) for t in texts]
+    assert len([n for n in calls if n]) == 1 and sum(calls) >= 400
+
+
+def test_byte_without_rank_is_an_error_each_time():
+    codec = bpe.Codec({b"a": 0, b"b": 1, b"ab": 2}, r"\w+")
+    for _ in range(2):
+        with pytest.raises(KeyError):
+            codec.encode("abx")
+    assert codec.encode("aba") == [2, 0]
